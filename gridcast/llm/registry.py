@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding
-
-ORACLES: dict[str, str] = {}
+from . import decontaminate, line_dedup, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8)
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"), min_sites=5)
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return cleaned.select("row.doc_id", "n_lines", "n_removed", n_chars, F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
-    return public_tokenizers.path("word_bpe_49k.json")
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("spans", "h1", "h2")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +44,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op4_quality": op4_quality,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op9_packing": op9_packing,
 }
+
+ORACLES = {
+    "op6_line_dedup": line_dedup.SQL,
+    "op7_decontaminate": decontaminate.SQL,
+}
