@@ -13,6 +13,7 @@ the last window is short; other columns aren't carried.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import prepare, write_table
 
-#: Chunks remembered by a worker, and the longest that is: about 120 MB at most.
-KEEP_CHUNKS, KEEP_LENGTH = 500_000, 40
+#: Chunks remembered by a worker, and the longest that is: about 180 MB at most.
+KEEP_CHUNKS, KEEP_LENGTH = 800_000, 40
+#: A stop or comma that isn't after a letter, digit or space of Latin-1, and so may share a token with a symbol.
+BOUND_STOP = re.compile(r"[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]|[.,][^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]")
 #: Chunks joined into one text for the tokenizer, by the special token between them.
 AT_ONCE, SPECIAL = 200, "<|startoftext|>"
 
@@ -53,31 +56,38 @@ class ChunkTokenizer:
         odd = [c for c in stems if "<|" in c or len(c) > KEEP_LENGTH]
         yield from zip(odd, (x.tobytes() for x in self._whole(odd)), strict=True)
 
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """Pieces between which no token stands. The tokenizer lower-cases, and for Latin-1 lower() is the same."""
+        if text.isascii() or _latin(text):
+            if "<|" not in text:
+                text = text.lower()
+            if BOUND_STOP.search(text) is None:
+                text = text.replace(",", " , ").replace(".", " . ")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = self.seen
+        split, seen = [self.chunks(t) for t in texts], self.seen
         if len(seen) > KEEP_CHUNKS:
             seen.clear()
             seen[""] = b""
-        new = {c for chunks in split for c in chunks if c not in seen}
-        if new:
-            # the tokenizer lower-cases, and a stop or comma after a letter is a token of its own
-            parts = {}
-            for c in new:
-                tail = c[-1] if c[-1] in ".," and c.isascii() and c[-2:-1].isalpha() else ""
-                stem = c[: len(c) - len(tail)]
-                parts[c] = (stem.lower() if c.isascii() and "<|" not in c else stem, tail)
-            fresh = dict(self._fresh(list({x for p in parts.values() for x in p if x not in seen})))
-            own = {c: (fresh[a] if a in fresh else seen[a]) + (fresh[b] if b in fresh else seen[b]) for c, (a, b) in parts.items()}
-            seen.update(own)
-            seen.update(fresh)
-            long = [c for x in (own, fresh) for c in x if len(c) > KEEP_LENGTH]
+        new = set().union(*split).difference(seen)
+        seen.update(self._fresh(list(new)))
         out = [b"".join(map(seen.__getitem__, chunks)) for chunks in split]
-        for c in long if new else ():
-            seen.pop(c, None)
+        for c in new:
+            if len(c) > KEEP_LENGTH:
+                del seen[c]
         return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 

@@ -28,6 +28,8 @@ def test_chunks_give_the_ids_of_whole_texts():
     own = packing.ChunkTokenizer(tokenizer_path())
     rng = random.Random(3)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("aB'.,!é́ \n\t1st<|>s") for _ in range(200)) for _ in range(300)]
+    texts += ["".join(rng.choice("aÉéß×÷.,!Aª°1\xa0 \n'") for _ in range(200)) for _ in range(300)]
+    texts += [" ".join(rng.choice(["Été,", "l'eau.", "12,5", "x.", "$$$", "don't", "a,b"]) for _ in range(50)) for _ in range(50)]
     for _ in range(2):
         got = own.encode(texts)
         for t, g in zip(texts, got):
