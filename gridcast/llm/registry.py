@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, line_dedup, packing, pii, quality, sharding
+from . import decontaminate, embeddings, jaccard_join, line_dedup, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
