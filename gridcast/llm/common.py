@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context, so they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_gridcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="gridcast-"), "gridcast.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    context.addPyFile(path)
+    context._gridcast_shipped = True
+
+
 def prepare(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Make this package known to Python workers and bound the Arrow batches they get."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 

@@ -1,14 +1,15 @@
 """Compression classifier of text quality.
 
-Two zstandard dictionaries are built from good and from bad labelled texts. A text is cut into blocks, each block is
-compressed once with either dictionary, and the difference of the two summed sizes over their sum, which is positive
-where the good dictionary fits better, becomes a probability by a logistic curve fitted on labelled texts that
-neither dictionary has seen.
+Two zstandard dictionaries are built from good and from bad labelled texts. A text is cut into blocks, and each block
+is compressed once with either dictionary. The difference of the two summed sizes over their sum is positive where
+the good dictionary fits better. Beside it stands the share of the text that compression leaves, as text that repeats
+itself compresses well with either. A logistic curve of both, fitted on labelled texts that neither dictionary has
+seen and weighted to the classes' shares among all labels, gives the probability.
 
 Fitting reads a bounded sample: of either class at most `per_class` labelled rows, the first by a hash of the id, of
 texts of at most `sample_bytes` bytes. Scoring reads every text whole.
 
-Cases: null and empty texts get the score of a size difference of zero; labels that are null or not 0 or 1, and rows
+Cases: null and empty texts get the score of sizes of zero; labels that are null or not 0 or 1, and rows
 that `held_out` marks, are never read for fitting; an id with more labels counts as good if one of them is good;
 without labels of both classes every score is the share of good labels (0.5 without any); an empty table gives no
 rows; other columns aren't carried, except by `keep_good`.
@@ -40,8 +41,7 @@ class Model:
 
     good: bytes
     bad: bytes
-    slope: float
-    shift: float
+    curve: tuple[float, ...]  # weights of features() and, last, the shift
 
 
 def held_out(id_col: str) -> Column:
@@ -60,34 +60,46 @@ class Sizes:
             self.compressors.append(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
+        """Rows of bytes compressed with the good, with the bad dictionary, and of the text."""
+        out = np.zeros((len(texts), 3))
         good, bad = (c.compress for c in self.compressors)
         for i, t in enumerate(texts):
-            if t:
-                blocks = [t[k : k + BLOCK] for k in range(0, len(t), BLOCK)]
-                a, b = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)
-                out[i] = (b - a) / (a + b)
+            blocks = [t[k : k + BLOCK] for k in range(0, len(t), BLOCK)]
+            out[i] = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks), len(t)
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the likeliest logistic curve, by Newton steps with a weak prior on the slope."""
-    a, b = 0.0, 0.0
-    z = np.column_stack([x, np.ones_like(x)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        step = np.linalg.solve((z * w[:, None]).T @ z + np.diag([1e-4, 1e-6]), z.T @ (y - p) - np.array([1e-4 * a, 1e-6 * b]))
-        a, b = a + step[0], b + step[1]
+def features(sizes: np.ndarray) -> np.ndarray:
+    """Normalised size difference, logarithm of the share left and its square; short texts are drawn to the middle."""
+    good, bad, n = sizes.T
+    share = np.log((good + bad + 50) / (2 * n + 50))
+    return np.column_stack([(bad - good) / (good + bad + 100), share, share**2])
+
+
+def probability(curve: tuple[float, ...], sizes: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(sizes) @ np.array(curve[:-1]) + curve[-1], -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weights and shift of the likeliest logistic curve, by Newton steps with a weak prior on the weights."""
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ z + 1e-3 * np.eye(len(w)), z.T @ (weight * (y - p)) - 1e-3 * w)
+        w += step
         if abs(step).max() < 1e-9:
             break
-    return float(a), float(b)
+    slopes = w[:-1] / spread
+    return (*slopes.tolist(), float(w[-1] - slopes @ mean))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 20_000, dict_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Build the dictionaries and the curve on the driver from the bounded sample."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("good"))
+    n = {r["good"]: r["count"] for r in usable.groupBy("good").count().collect()}
     order = F.xxhash64("id")
     text = F.col(text_col).cast("binary")
     short = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.octet_length("text").between(1, sample_bytes))
@@ -99,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes:
     bad, good = sample
     if min(len(bad), len(good)) < 20:
         share = (len(good) + 1) / (len(good) + len(bad) + 2)
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
     dicts = []
     for own in (good, bad):
         use = [x for i, x in enumerate(own) if i % 3]
@@ -108,18 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes:
         except zstandard.ZstdError:  # too few or too uniform samples to train on: the samples themselves are the dictionary
             dicts.append(b"".join(use)[-dict_bytes:])
     sizes = Sizes(*dicts)
-    x = [sizes(own[::3]) for own in (bad, good)]
-    slope, shift = _logistic(np.concatenate(x), np.repeat([0.0, 1.0], [len(x[0]), len(x[1])]))
-    return Model(dicts[0], dicts[1], slope, shift)
+    x = [features(sizes(own[::3])) for own in (bad, good)]
+    weight = [n[k] / (n[0] + n[1]) * (len(x[0]) + len(x[1])) / len(x[k]) for k in (0, 1)]
+    y = np.repeat([0, 1], [len(x[0]), len(x[1])])
+    return Model(dicts[0], dicts[1], _logistic(np.concatenate(x), y, np.array(weight)[y]))
 
 
 def _scores(model: Model, column: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(model.good, model.bad) if model.good else lambda texts: np.zeros(len(texts))
+        sizes = Sizes(model.good, model.bad) if model.good else lambda texts: np.zeros((len(texts), 3))
         for batch in batches:
-            x = sizes(text_bytes(batch.column(column)))
-            score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
+            found = probability(model.curve, sizes(text_bytes(batch.column(column))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
     return run
 
