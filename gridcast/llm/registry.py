@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard_join, line_dedup, packing, pii, quality, sharding
+from . import decontaminate, embeddings, html_text, jaccard_join, line_dedup, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "h1", "h2")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
