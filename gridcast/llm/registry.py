@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_text, jaccard_join, line_dedup, packing, pii, quality, sharding
+from . import chat, decontaminate, embeddings, html_text, jaccard_join, line_dedup, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"), min_sites=5)
     n_chars = F.length("text").cast("long").alias("n_chars")
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_embeddings": op3_embeddings,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_html_text": op8_html_text,
@@ -71,6 +76,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_chat": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
