@@ -99,19 +99,19 @@ def find(docs: DataFrame, window: int = 60, support: int = 5, generalise: float
     contexts = entities.select("row", "same", "entity", F.inline(around)).filter(F.length("term") >= min_term)
     contexts = contexts.withColumn("t", F.xxhash64("term"))
     pairs = contexts.select("entity", "t", "same").distinct().groupBy("entity", "t").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
-    pairs = write_table(pairs, "pairs")
     n_c = entities.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n = whole.agg(F.approx_count_distinct("same", 0.01).alias("n"))
-    # document counts of the candidate terms over all texts
+    n = whole.agg(F.countDistinct("same").alias("n"))  # one row
+    share = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t"))) / F.when(F.col("n") > F.col("n_c"), F.log2(F.col("n") / F.col("n_c")))
+    # a term is in as many texts at least as it is in contexts of any entity: most common words end here
+    at_least = contexts.select("t", "same").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    pairs = pairs.join(n_c, "entity").join(at_least, "t").crossJoin(F.broadcast(n))
+    pairs = write_table(pairs.filter(share >= generalise).drop("n_t"), "pairs")
+    # document counts of the remaining terms over all texts
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(F.xxhash64(text).alias("same"), F.explode(F.array_distinct(F.split(F.lower(text), r"\P{L}+"))).alias("term"))
     words = words.select("same", F.xxhash64("term").alias("t")).join(pairs.select("t").distinct(), "t", "left_semi")
     n_t = words.distinct().groupBy("t").agg(F.count("*").alias("n_t"))
-    risk = pairs.join(n_c, "entity").join(n_t, "t").crossJoin(F.broadcast(n))  # one row
-    total = F.greatest("n", "n_c", "n_t")
-    bits = F.log2(total / F.col("n_c"))
-    share = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.when(bits > 0, bits)
-    risk = risk.withColumn("share", share).filter(F.col("share") >= generalise)
+    risk = pairs.join(n_t, "t").withColumn("share", share).filter(F.col("share") >= generalise)
     risk = risk.select("entity", "t", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
     terms = contexts.join(risk, ["entity", "t"]).select("row", F.lit(len(KINDS) - 1).alias("kind"), "from", "to", "action")
     terms = terms.groupBy("row", "kind", "from", "to").agg(F.max("action").alias("action"))
