@@ -1,6 +1,8 @@
-"""All registered queries of the time-series engine."""
+"""All registered queries of the time-series engine and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

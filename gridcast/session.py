@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,26 @@ def get_spark(app: str = "gridcast", cpus: int | None = None) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context, so they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_gridcast_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="gridcast-"), "gridcast.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    context.addPyFile(path)
+    context._gridcast_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_gridcast_shared", None)
+    if not found:
+        found = context._gridcast_shared = f"file://{tempfile.mkdtemp(prefix='gridcast-shared-')}"
+    return found.rstrip("/")
