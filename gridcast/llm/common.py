@@ -2,50 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, ship
+
 #: Rows of text handed to a Python worker at once; bounds a worker's memory.
 BATCH_ROWS = 1000
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a Spark context, so they needn't have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_gridcast_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="gridcast-"), "gridcast.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    context.addPyFile(path)
-    context._gridcast_shipped = True
-
-
 def prepare(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
     """Make this package known to Python workers and bound the Arrow batches they get."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gridcast-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from committed files.
 
