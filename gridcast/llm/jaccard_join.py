@@ -3,13 +3,21 @@
 A document becomes its set of distinct `shingle`-word windows, as 64-bit hashes; equal sets are one node. All sets
 are put in one global order: hashes that many sets share (found exactly among the first three eighths of every set's
 hashes) last, then by hash value. Two sets as similar as the threshold share one of their first floor(n/4)+1 hashes,
-so only these prefixes meet. Sets of equal prefix and size form a group, and a group has one posting per prefix hash.
-
-Round one verifies, in every group, its members against its first and, in every posting list, groups against the
-first group of compatible size: as many pairs as postings, however large a list is. Components of the verified links
-follow. Round two settles the rest: in lists whose sets still lie in different components, pairs across components of
-compatible size that weren't verified yet are. A link that neither round looks at joins sets of one component, so the
-components are those of all links.
+so only these prefixes meet, and a pair only where the hash stands early enough in both for the overlap that their
+sizes ask for. Sets of equal prefix and size form a group, and a group has one posting per prefix hash.
+
+Round one verifies, in every group, its members against its first and, in every posting list, groups against a
+leader of their size class: at most as many pairs as postings, however large a list is. The leader is a group in
+which the list's hash stands earliest: with shared hashes last, it has the fewest of its own, and so is the one most
+others are near to. Of equals, one of LEADERS orders decides, picked by the list's hash: the many lists that a large
+cluster shares give its members a few leaders to link with, not as many as lists. Components of the verified links
+follow. Round two settles the rest. Lists whose sets still lie in different components are merged by the component
+that most of their sets are in, and every set of a merged list outside that component is compared with all of the
+list, blocks against blocks. A link that neither round looks at joins sets of one component, so the components are
+those of all links.
+
+Before whole sets are compared, pairs pass an exact bound: every node has a bitmap of the parities of its hashes by
+their low bits, and the bits in which two bitmaps differ are at most the hashes in which the sets differ.
 
 Cases: a text of fewer words is one shingle of all its words; null and empty texts, and rows without id, link with
 nothing; equal texts link; rows of one id are one document for components; an empty table gives no rows; other columns
@@ -32,6 +40,10 @@ from .components import connected_components
 #: Sets that share a hash for it to go last in the order, and how many such hashes workers are sent (8 bytes each).
 #: Both only move work about: any order gives the same links.
 HEAVY, MAX_HEAVY = 50, 250_000
+#: Orders by which lists pick their leader; it only moves work between the rounds.
+LEADERS = 8
+#: Members of a merged list that are compared in one go; longer ones are dealt out as pairs of blocks.
+BLOCK = 4096
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,6 +65,40 @@ def _digest(values: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes(), seed) - (1 << 63)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Bitmap of whether an odd number of hashes has given low bits; two to four bits a hash."""
+    size = max(256, 2 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmap: bytes, size: int) -> bytes:
+    """The bitmap by fewer low bits."""
+    while len(bitmap) > size:
+        half = len(bitmap) // 2
+        bitmap = (int.from_bytes(bitmap[:half], "little") ^ int.from_bytes(bitmap[half:], "little")).to_bytes(half, "little")
+    return bitmap
+
+
+def _possible(percent: int):
+    """Pairs whose bitmaps differ in no more bits than similar sets may differ in hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            differ = np.zeros(len(total), dtype=np.int64)
+            bits_a, bits_b = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+            sizes = np.minimum([len(x) for x in bits_a], [len(x) for x in bits_b]).astype(np.int64)
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                x, y = (np.frombuffer(b"".join(_folded(bits[i], size) for i in own), np.uint8).reshape(len(own), -1) for bits in (bits_a, bits_b))
+                differ[own] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(differ * (100 + percent) <= total * (100 - percent))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
 def _low(k: int):
     """First three eighths of every set, which is a third and a half more than its prefix; equal sets of a task once."""
 
@@ -73,12 +119,13 @@ def _low(k: int):
 
 
 def _prefixes(k: int, heavy: np.ndarray):
-    """Per document: id, set size, node (of the set), group (of prefix and size), the prefix once per group and task."""
+    """Per document: id, set size, node (of the set), group (of prefix and size), the prefix once per group and task, the bitmap once per node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        nodes: set[int] = set()
         for batch in batches:
-            n, node, group, prefix = [], [], [], []
+            n, node, group, prefix, bits = [], [], [], [], []
             for text, known in zip(text_bytes(batch.column("text")), batch.column("id").is_valid().to_pylist(), strict=True):
                 s = shingles(text, k)
                 n.append(len(s))
@@ -86,16 +133,19 @@ def _prefixes(k: int, heavy: np.ndarray):
                     node.append(None)
                     group.append(None)
                     prefix.append(None)
+                    bits.append(None)
                     continue
                 late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), dtype=bool)
                 p = np.concatenate([s[~late], s[late]])[: len(s) // 4 + 1]
                 g = _digest(p, len(s))
                 node.append(_digest(s, 0))
+                bits.append(None if node[-1] in nodes else parities(s))
+                nodes.add(node[-1])
                 group.append(g)
                 prefix.append(None if g in seen else p.view(np.int64))
                 seen.add(g)
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "grp", "prefix"])
+            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "grp", "prefix", "bits"])
 
     return run
 
@@ -121,36 +171,81 @@ def _sets(k: int):
 
 
 def _lists(percent: int):
-    """Posting lists of two groups or more: each posting with its list's leader, the first group of compatible size."""
+    """Posting lists of two groups or more: each posting with the leader of its list and size class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in key_runs(batches, ["h"]):
-            h, n, g = (table.column(c).to_numpy() for c in ("h", "n", "grp"))
+            h, n, g, place = (table.column(c).to_numpy() for c in ("h", "n", "grp", "place"))
             first = np.ones(len(h), dtype=bool)
             first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])  # a group from several tasks
+            # the smallest set of a list asks for the least overlap, and so for the longest prefix
+            least_n = np.maximum(np.repeat(n[starts[:-1]], np.diff(starts)), -(-n * percent // 100))
+            first &= place + -(-percent * (n + least_n) // (100 + percent)) <= n
             counts = np.add.reduceat(first.astype(np.int64), starts[:-1])
             many = np.repeat(counts > 1, np.diff(starts)) & first
             if not many.any():
                 continue
-            h, n, g = h[many], n[many], g[many]
-            leader = g.copy()
-            cut = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                while s < e:  # sizes ascend: the leader's reach is a range
-                    reach = s + int(np.searchsorted(n[s:e], n[s] * 100 // percent, side="right"))
-                    leader[s:reach] = g[s]
-                    s = reach
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, g, leader)], ["h", "n", "grp", "leader"])
+            h, n, g, place = h[many], n[many], g[many], place[many]
+            # within a class sizes are compatible, and ascending sizes keep a list's classes together
+            kind = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
+            cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
+            rank = (g.view(np.uint64) ^ (h.view(np.uint64) % np.uint64(LEADERS) + np.uint64(1)) * ODD) * ODD
+            rank = (rank >> np.uint64(32)) | (place.astype(np.uint64) << np.uint64(32))
+            least = np.minimum.reduceat(rank, cut)
+            runs = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(h))))
+            lead = np.zeros(len(cut), dtype=np.int64)
+            own = rank == least[runs]
+            lead[runs[own]] = g[own]
+            leader = lead[runs]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, g, place, leader)], ["h", "n", "grp", "place", "leader"])
+
+    return run
+
+
+def _cross(percent: int, at_once: int = 256):
+    """Pairs of a sought node (role 0) and any other of the same block, across components, that sizes and bitmaps allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in key_runs(batches, ["main", "ba", "bb"]):
+            node, n, c, role = (table.column(k).to_numpy() for k in ("node", "n", "c", "role"))
+            raw, out = table.column("bits").to_pylist(), []
+            sizes = np.array([len(x) for x in raw])
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for size in np.unique(sizes[s:e]).tolist():
+                    left = s + np.flatnonzero((sizes[s:e] == size) & (role[s:e] == 0))
+                    for other in (size // 2, size, size * 2):  # compatible sets have bitmaps of equal or next length
+                        right = s + np.flatnonzero((sizes[s:e] == other) & (role[s:e] == 1))
+                        if not len(left) or not len(right):
+                            continue
+                        x, y = (np.frombuffer(b"".join(_folded(raw[i], min(size, other)) for i in own), np.uint64).reshape(len(own), -1) for own in (left, right))
+                        for k in range(0, len(left), at_once):
+                            own = left[k : k + at_once]
+                            fits = c[own, None] != c[right][None, :]
+                            fits &= np.minimum(n[own, None], n[right][None, :]) * 100 >= percent * np.maximum(n[own, None], n[right][None, :])
+                            i, j = np.nonzero(fits)
+                            for m in range(0, len(i), 1 << 16):
+                                i_, j_ = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
+                                differ = np.bitwise_count(x[k + i_] ^ y[j_]).sum(axis=1, dtype=np.int64)
+                                keep = differ * (100 + percent) <= (n[own[i_]] + n[right[j_]]) * (100 - percent)
+                                a, b = node[own[i_[keep]]], node[right[j_[keep]]]
+                                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, linked of every pair of nodes (a, b), by the whole sets."""
+    """a, b, linked of the distinct pairs of nodes (a, b) that pass the bitmaps, by the whole sets."""
     spark = docs.sparkSession
+    prepare(spark)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(percent), "a long, b long")
+    pairs = write_table(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = asked.join(nodes.select("node", "first_id"), "node")
-    prepare(spark)
     texts = docs.join(asked, F.col("id") == F.col("first_id")).select("node", "text")
     sets = write_table(texts.mapInArrow(_sets(k), "node long, set array<long>"), "sets")
     sets = sets.dropDuplicates(["node"])
@@ -172,36 +267,45 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     common = texts.select("text").mapInArrow(_low(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     common = common.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "h").limit(MAX_HEAVY).select("h")
     heavy = np.sort(common.toArrow().column("h").to_numpy().view(np.uint64))
-    schema = "id long, n long, node long, grp long, prefix array<long>"
+    schema = "id long, n long, node long, grp long, prefix array<long>, bits binary"
     rows = write_table(docs.mapInArrow(_prefixes(shingle, heavy), schema), "prefixes")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("grp").alias("grp"))
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits", ignorenulls=True).alias("bits"))
     nodes = write_table(nodes, "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"))
 
     prepare(spark, 20_000)
-    postings = rows.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "n", "grp")
+    postings = rows.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("place", "h"), "n", "grp")
     postings = postings.repartition("h").sortWithinPartitions("h", "n", "grp")
-    lists = write_table(postings.mapInArrow(_lists(percent), "h long, n long, grp long, leader long"), "lists")
+    lists = write_table(postings.mapInArrow(_lists(percent), "h long, n long, grp long, place int, leader long"), "lists")
 
     # round one: members of a group with its first, groups of a list with their leader
     inside = nodes.join(groups, "grp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     across = lists.filter("grp <> leader").select("grp", "leader").distinct()
     across = across.join(groups.select("grp", F.col("rep").alias("a")), "grp").join(groups.select(F.col("grp").alias("leader"), F.col("rep").alias("b")), "leader")
-    pairs = inside.unionByName(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = _verify(write_table(pairs, "pairs"), docs, nodes, shingle, percent)
+    one = _verify(inside.unionByName(across.select("a", "b")), docs, nodes, shingle, percent)
     labels = connected_components(one.filter("linked").select("a", "b"))
 
     # round two: what is left between components of one list
-    placed = nodes.join(labels, "node", "left").select("node", "n", "grp", F.coalesce("component", "node").alias("c"))
+    placed = nodes.join(labels, "node", "left").select("node", "n", "grp", "bits", F.coalesce("component", "node").alias("c"))
     placed = write_table(placed, "placed")
-    members = lists.select("h", "grp").join(placed, "grp")
-    mixed = members.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
-    members = write_table(members.join(mixed, "h").select("h", "node", "n", "c"), "mixed")
-    other = members.select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    fits = (F.col("c") < F.col("c_b")) & (F.least("n", "n_b") * 100 >= percent * F.greatest("n", "n_b"))
-    pairs = members.withColumnRenamed("node", "a").join(other, "h").filter(fits)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one.select("a", "b"), ["a", "b"], "left_anti")
-    two = _verify(write_table(pairs, "pairs"), docs, nodes, shingle, percent)
+    members = write_table(lists.select("h", "grp").join(placed.select("node", "grp", "c"), "grp").select("h", "node", "c"), "members")
+    mains = members.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts"))
+    mains = mains.filter("parts > 1").select("h", F.col("most.c").alias("main"))
+    near = write_table(members.join(mains, "h").select("main", "node", "c").distinct(), "near")
+    sought = F.count_if(F.col("c") != F.col("main"))
+    blocks = near.groupBy("main").agg(F.ceil(sought / BLOCK).cast("int").alias("blocks_a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_b"))
+    near = near.join(blocks, "main").withColumn("own", F.xxhash64("node", "main"))
+    own = lambda k: F.array(F.pmod("own", F.col(k)).cast("int"))
+    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    roles = [F.struct(F.lit(1).alias("role"), every("blocks_a").alias("a"), own("blocks_b").alias("b")), F.when(F.col("c") != F.col("main"), F.struct(F.lit(0).alias("role"), own("blocks_a").alias("a"), every("blocks_b").alias("b")))]
+    near = near.select("main", "node", F.explode(F.array_compact(F.array(*roles))).alias("r"))
+    near = near.select("main", "node", "r.role", F.explode("r.a").alias("ba"), "r.b").select("main", "node", "role", "ba", F.explode("b").alias("bb"))
+    near = near.join(placed.select("node", "n", "c", "bits"), "node")
+    prepare(spark, 5_000)
+    keys = ["main", "ba", "bb"]
+    pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
+    pairs = write_table(pairs, "across").distinct().join(one.select("a", "b"), ["a", "b"], "left_anti")
+    two = _verify(pairs, docs, nodes, shingle, percent)
     links = one.filter("linked").unionByName(two.filter("linked")).select("a", "b")
     labels = connected_components(links)
 

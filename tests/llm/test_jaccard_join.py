@@ -63,9 +63,10 @@ def corpus(seed, n=220):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize(("seed", "heavy"), [(1, 50), (2, 3)])
-def test_against_brute_force(spark, seed, heavy, monkeypatch):
+@pytest.mark.parametrize(("seed", "heavy", "block"), [(1, 50, 4096), (2, 3, 16)])
+def test_against_brute_force(spark, seed, heavy, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n long").repartition(3)
     got = jaccard_join.near_documents(docs).toPandas()
