@@ -107,7 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast: int
 
 def _with_scan(docs: DataFrame, found: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
     key = [docs[id_col], docs[text_col]]
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.lit(1), *key).alias("h1"), F.xxhash64(F.lit(2), *key).alias("h2"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(1), *key).alias("h1"), F.xxhash64(F.lit(2), *key).alias("h2"))
     return rows.join(found, ["h1", "h2"], how)
 
 

@@ -60,7 +60,7 @@ def clean(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id", text_col:
     drop = drop.groupBy("d1", "d2").agg(F.collect_set("pos").alias("drop"))
     key = [docs[id_col], docs[text_col]]
     rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        F.struct("*").alias("row"),
         docs[text_col].alias("text"),
         F.xxhash64(F.lit(1), *key).alias("d1"),
         F.xxhash64(F.lit(2), *key).alias("d2"),

@@ -152,6 +152,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score at least the threshold."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), docs[text_col].alias("text"))
     scored = rows.mapInArrow(_scores(model, "text", "score"), StructType([*rows.schema, SCORE]))
     return scored.filter(F.col("score") >= threshold).select("row.*")
