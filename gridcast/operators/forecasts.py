@@ -57,3 +57,12 @@ def rmse_by_step(flat: DataFrame, *by: str) -> DataFrame:
 def metric_max(table: DataFrame, columns: tuple[str, ...] = ("rmse", "mae", "nrmse", "smape")) -> DataFrame:
     """The largest value of the metric columns."""
     return table.agg(F.greatest(*(F.max(c) for c in columns)).alias("max_value"))
+
+
+def report(table: DataFrame) -> str:
+    """A metric table as text, four decimals, one line a row; metric tables are a few rows."""
+    columns = table.columns
+    lines = ["  ".join(f"{c:>12}" for c in columns)]
+    for r in table.orderBy(*(c for c in columns if c not in all_metrics())).collect():
+        lines.append("  ".join(f"{v:>12.4f}" if isinstance(v, float) else f"{'-' if v is None else v:>12}" for v in r))
+    return "\n".join(lines)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PER_DAY
 from ..functions.columns import day_key, normalised_entity, zero_filled
-from ..operators import calendar, forecasts, models, screening, split_scale, timegrid, tuning, windows
+from ..operators import calendar, forecasts, models, sarima, screening, split_scale, timegrid, tuning, windows
 from ..session import shared_dir
 from ..sources import series, sinks
 
@@ -360,6 +360,10 @@ def score_model(spark, d):
     return models.score(w.filter(F.col("split") == "test"), fitted).select("i", "win_idx", "y", "yp")
 
 
+def sarima_forecast(spark, d):
+    return sarima.forecast_series(_scaled(spark, d), sarima.Order((1, 0, 1), (0, 1, 0, 24)), 24)
+
+
 def _resampler(granularity: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _day(_series(spark, d, granularity))
 
@@ -380,6 +384,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_windows, roundtrip_windows, pair_pred_truth, metrics_overall, metrics_by_institution,
         metrics_by_granularity, metrics_by_model, metrics_cube, metrics_of_windows, nrmse_train_range,
         rmse_by_horizon, metric_max, union_granularities, scan_institution_csv, trial_grid, train_history,
-        best_trial, score_model,
+        best_trial, score_model, sarima_forecast,
     )
 }

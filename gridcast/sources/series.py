@@ -36,10 +36,11 @@ def read_processed(spark: SparkSession, path: str, schema: T.StructType) -> Data
 # Adapters: the test tables in the roles of the engine's inputs.
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts, i (entity), nb (integer value) of the events table."""
+def events(spark: SparkSession, sf_dir: str, entities: int | None = 10) -> DataFrame:
+    """event_id, ts, i (entity), nb (integer value) of the events table; entities None: every user is one."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", "ts", (F.col("user_id") % 10).alias("i"), F.round(F.col("value") * 100).cast("long").alias("nb"))
+    entity = F.col("user_id") if entities is None else F.col("user_id") % entities
+    return rows.select("event_id", "ts", entity.alias("i"), F.round(F.col("value") * 100).cast("long").alias("nb"))
 
 
 def resample(rows: DataFrame, granularity: str) -> DataFrame:

@@ -74,3 +74,31 @@ def test_search_scoring_and_storage(spark, tmp_path):
     sinks.write_model(spark, models.model_rows("m", fitted), f"file://{tmp_path}/model")
     back = models.model_of(fitted.spec, sinks.read_model(spark, f"file://{tmp_path}/model", "m"))
     assert all(np.array_equal(back.weights[k], a) for k, a in fitted.weights.items())
+
+
+def test_sarima_recovers_known_processes(spark):
+    from gridcast.operators import sarima
+
+    trend = np.arange(200) * 3.0 + 5
+    assert np.allclose(sarima.forecast(trend, sarima.Order((1, 1, 0)), 4), trend[-1] + 3.0 * np.arange(1, 5))
+    season = np.tile([1.0, 5.0, 2.0, 8.0], 60)
+    assert np.allclose(sarima.forecast(season, sarima.Order((0, 0, 0), (0, 1, 0, 4)), 6), season[:6])
+    assert np.allclose(sarima.forecast(season, sarima.Order((0, 0, 0), (1, 0, 0, 4)), 6), season[:6])
+    rng = np.random.default_rng(2)
+    e, x = rng.standard_normal(5000), np.zeros(5000)
+    for t in range(1, 5000):
+        x[t] = 0.7 * x[t - 1] + e[t] + 0.4 * e[t - 1]
+    want = 0.7 * x[-1] + 0.4 * e[-1]
+    assert abs(sarima.forecast(x, sarima.Order((1, 0, 1)), 1)[0] - want) < 0.1
+    assert sarima.Order((1, 0, 1), (1, 0, 0, 24)).lags(0) == [1, 24, 25]
+    assert sarima.forecast(np.array([4.0, 2.0]), sarima.Order((2, 0, 1)), 3).tolist() == [2.0] * 3
+    df = spark.createDataFrame([(k, p, float(season[p] * k)) for k in (1, 2) for p in range(240)], "i long, pos long, y double")
+    got = {(r["i"], r["step"]): r["yp"] for r in sarima.forecast_series(df, sarima.Order((0, 0, 0), (0, 1, 0, 4)), 2).collect()}
+    assert np.isclose(got[2, 1], 10.0) and len(got) == 4
+
+
+def test_report(spark):
+    from gridcast.operators.forecasts import report
+
+    text = report(spark.createDataFrame([("b", 0.5, None), ("a", 1 / 3, 2.0)], "model string, rmse double, nrmse double"))
+    assert text.split() == ["model", "rmse", "nrmse", "a", "0.3333", "2.0000", "b", "0.5000", "-"]
