@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on word shingles by a grouped prefix join, and its connected components.
 
 A document becomes its set of distinct `shingle`-word windows, as 64-bit hashes; equal sets are one node. All sets
-are put in one global order: hashes that many sets share (found exactly among the first three eighths of every set's
+are put in one global order: hashes that many sets share (found exactly among the first five sixteenths of every set's
 hashes) last, then by hash value. Two sets as similar as the threshold share one of their first floor(n/4)+1 hashes,
 so only these prefixes meet, and a pair only where the hash stands early enough in both for the overlap that their
 sizes ask for. Sets of equal prefix and size form a group, and a group has one posting per prefix hash.
@@ -100,7 +100,7 @@ def _possible(percent: int):
 
 
 def _low(k: int):
-    """First three eighths of every set, which is a third and a half more than its prefix; equal sets of a task once."""
+    """First five sixteenths of every set, a quarter more than its prefix; equal sets of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -110,7 +110,7 @@ def _low(k: int):
                 s = shingles(text, k)
                 if len(s) and (own := _digest(s, 0)) not in seen:
                     seen.add(own)
-                    out.append(s[: len(s) * 3 // 8 + 1])
+                    out.append(s[: len(s) * 5 // 16 + 1])
             if out:
                 values, counts = np.unique(np.concatenate(out), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
@@ -317,7 +317,10 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but of every component only the row of the smallest id (one, if it repeats)."""
+    """The rows of docs, with all their columns, but of every component only those of the smallest id.
+
+    Rows of one id are one document and stay or go together; rows without id stay.
+    """
     found = near_documents(docs, shingle, percent, id_col, text_col)
-    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
