@@ -95,7 +95,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return (*slopes.tolist(), float(w[-1] - slopes @ mean))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 20_000, dict_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_bytes: int = 20_000, dict_bytes: int = 112_640, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Build the dictionaries and the curve on the driver from the bounded sample."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("good"))
