@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, prepare, write_table
+from .common import key_runs, prepare, released, write_table
 from .components import connected_components
 
 SEED = 20240
@@ -129,7 +129,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     groups = write_table(groups.withColumn("gid", F.monotonically_increasing_id()), "vectors")
     bits, tables = _tables(groups.count(), threshold, recall)
     prepare(spark, 2000)
-    coded = write_table(groups.mapInArrow(_codes(bits, tables), "gid long, id long, w long, h1 long, h2 long, raw binary, codes array<long>"), "codes")
+    coded = write_table(groups.mapInArrow(released(_codes(bits, tables)), "gid long, id long, w long, h1 long, h2 long, raw binary, codes array<long>"), "codes")
     dim = F.octet_length("raw").alias("dim")
     placed = coded.select("gid", dim, F.posexplode("codes").alias("t", "code"))
     full = placed.groupBy("t", "code", "dim").agg(F.count("*").alias("n")).filter("n > 1")
@@ -141,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     placed = placed.join(coded.select("gid", "id", "w", "raw", "codes"), "gid")
     keys = ["t", "code", "bi", "bj", "dim"]
     placed = placed.repartition(*keys).sortWithinPartitions(*keys)
-    found = write_table(placed.mapInArrow(_links(threshold), "gid long, a long, b long, links long"), "links")
+    found = write_table(placed.mapInArrow(released(_links(threshold)), "gid long, a long, b long, links long"), "links")
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"))
     info = groups.select("gid", "id", "w", "h1", "h2").join(links, "gid", "left")

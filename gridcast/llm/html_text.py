@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, write_table
+from .common import prepare, released, write_table
 
 # Names from the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul menu noscript template button select option iframe svg head".split())
@@ -186,7 +186,7 @@ def low_nodes(pages: DataFrame, threshold: float = 0.2, min_seen: int = 5, url_c
     """host, path of the style tree's nodes of low importance."""
     prepare(pages.sparkSession, 500)
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    counts = rows.mapInArrow(_styles, "host long, path long, kind long, value long, n long")
+    counts = rows.mapInArrow(released(_styles), "host long, path long, kind long, value long, n long")
     counts = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log2("m") - F.col("s") / F.col("m")) / F.log2("m")).otherwise(F.lit(1.0))
@@ -249,9 +249,9 @@ def extract(pages: DataFrame, threshold: float = 0.2, min_seen: int = 5, id_col:
         F.xxhash64(F.lit(1), *key).alias("k1"),
         F.xxhash64(F.lit(2), *key).alias("k2"),
     )
-    cut = rows.select("k1", "k2", "url", "html").mapInArrow(_undecided, "k1 long, k2 long, host long, path long")
+    cut = rows.select("k1", "k2", "url", "html").mapInArrow(released(_undecided), "k1 long, k2 long, host long, path long")
     cut = cut.distinct().join(low, ["host", "path"]).groupBy("k1", "k2").agg(F.collect_set("path").alias("low"))
     cut = write_table(cut, "cut")
     texts = rows.join(cut, ["k1", "k2"], "left").select("page_id", "url", "html", "low")
-    texts = texts.mapInArrow(_texts, "page_id long, url string, text string")
+    texts = texts.mapInArrow(released(_texts), "page_id long, url string, text string")
     return texts.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

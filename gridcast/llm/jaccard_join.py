@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, prepare, text_bytes, write_table
+from .common import key_runs, prepare, released, text_bytes, write_table
 from .components import connected_components
 
 #: Sets that share a hash for it to go last in the order, and how many such hashes workers are sent (8 bytes each).
@@ -242,12 +242,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
     prepare(spark)
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(percent), "a long, b long")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_possible(percent)), "a long, b long")
     pairs = write_table(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = asked.join(nodes.select("node", "first_id"), "node")
     texts = docs.join(asked, F.col("id") == F.col("first_id")).select("node", "text")
-    sets = write_table(texts.mapInArrow(_sets(k), "node long, set array<long>"), "sets")
+    sets = write_table(texts.mapInArrow(released(_sets(k)), "node long, set array<long>"), "sets")
     sets = sets.dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
@@ -264,11 +264,11 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = docs.filter(F.col("id").isNotNull())
     prepare(spark)
-    common = texts.select("text").mapInArrow(_low(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    common = texts.select("text").mapInArrow(released(_low(shingle)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     common = common.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "h").limit(MAX_HEAVY).select("h")
     heavy = np.sort(common.toArrow().column("h").to_numpy().view(np.uint64))
     schema = "id long, n long, node long, grp long, prefix array<long>, bits binary"
-    rows = write_table(docs.mapInArrow(_prefixes(shingle, heavy), schema), "prefixes")
+    rows = write_table(docs.mapInArrow(released(_prefixes(shingle, heavy)), schema), "prefixes")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits", ignorenulls=True).alias("bits"))
     nodes = write_table(nodes, "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"))
@@ -276,7 +276,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     prepare(spark, 20_000)
     postings = rows.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("place", "h"), "n", "grp")
     postings = postings.repartition("h").sortWithinPartitions("h", "n", "grp")
-    lists = write_table(postings.mapInArrow(_lists(percent), "h long, n long, grp long, place int, leader long"), "lists")
+    lists = write_table(postings.mapInArrow(released(_lists(percent)), "h long, n long, grp long, place int, leader long"), "lists")
 
     # round one: members of a group with its first, groups of a list with their leader
     inside = nodes.join(groups, "grp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -303,7 +303,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     near = near.join(placed.select("node", "n", "c", "bits"), "node")
     prepare(spark, 5_000)
     keys = ["main", "ba", "bb"]
-    pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross(percent), "a long, b long")
+    pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_cross(percent)), "a long, b long")
     pairs = write_table(pairs, "across").distinct().join(one.select("a", "b"), ["a", "b"], "left_anti")
     two = _verify(pairs, docs, nodes, shingle, percent)
     links = one.filter("linked").unionByName(two.filter("linked")).select("a", "b")

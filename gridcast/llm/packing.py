@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, write_table
+from .common import prepare, released, write_table
 
 #: Chunks remembered by a worker, and the longest that is: about 80 MB at most.
 KEEP_CHUNKS, KEEP_LENGTH = 350_000, 40
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = write_table(source.mapInArrow(_tokenise(tokenizer_path, end_id), "part int, id long, ids binary, tokens long, before long"), "pack")
+    tokens = write_table(source.mapInArrow(released(_tokenise(tokenizer_path, end_id)), "part int, id long, ids binary, tokens long, before long"), "pack")
     totals = tokens.groupBy("part").agg(F.sum("tokens").alias("n"))
     offsets, at = [], 0
     for part, n in sorted((r["part"], r["n"]) for r in totals.collect()):  # one row a partition

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, text_bytes
+from .common import prepare, released, text_bytes
 
 #: Bytes compressed at once: as long as a dictionary still matters in it.
 BLOCK = 2048
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     """id, held_out, score, predicted of every row."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_scores(model, "text", "score"), StructType([*rows.schema, SCORE]))
+    scored = rows.mapInArrow(released(_scores(model, "text", "score")), StructType([*rows.schema, SCORE]))
     return scored.select(
         F.col("id").alias(id_col),
         held_out("id").alias("held_out"),
@@ -153,5 +153,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: s
     """The rows of docs, with all their columns, that score at least the threshold."""
     prepare(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), docs[text_col].alias("text"))
-    scored = rows.mapInArrow(_scores(model, "text", "score"), StructType([*rows.schema, SCORE]))
+    scored = rows.mapInArrow(released(_scores(model, "text", "score")), StructType([*rows.schema, SCORE]))
     return scored.filter(F.col("score") >= threshold).select("row.*")

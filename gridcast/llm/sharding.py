@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, write_table
+from .common import prepare, released, write_table
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +46,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     placed = rows.repartitionByRange("id", "crc", "size", "at").sortWithinPartitions("id", "crc", "size", "at")
     placed = placed.select(F.spark_partition_id().alias("part"), "id", "size", "crc")
     schema = "part int, id long, size long, crc long, before long, row long"
-    placed = write_table(placed.mapInArrow(_running, schema), "shard")
+    placed = write_table(placed.mapInArrow(released(_running), schema), "shard")
     totals = placed.groupBy("part").agg(F.sum("size"), F.count("*"))
     offsets, at_size, at_row = [], 0, 0
     for part, part_size, part_rows in sorted(map(tuple, totals.collect())):  # one row a partition
