@@ -11,9 +11,9 @@ leader of their size class: at most as many pairs as postings, however large a l
 which the list's hash stands earliest: with shared hashes last, it has the fewest of its own, and so is the one most
 others are near to. Of equals, one of LEADERS orders decides, picked by the list's hash: the many lists that a large
 cluster shares give its members a few leaders to link with, not as many as lists. Components of the verified links
-follow. Round two settles the rest. Lists whose sets still lie in different components are merged by the component
-that most of their sets are in, and every set of a merged list outside that component is compared with all of the
-list, blocks against blocks. A link that neither round looks at joins sets of one component, so the components are
+follow. Round two settles the rest. Lists, and groups, whose sets still lie in different components are merged by the
+component that most of their sets are in, and every set of a merged list outside that component is compared with all of
+the list, blocks against blocks. A link that neither round looks at joins sets of one component, so the components are
 those of all links.
 
 Before whole sets are compared, pairs pass an exact bound: every node has a bitmap of the parities of its hashes by
@@ -285,10 +285,13 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     one = _verify(inside.unionByName(across.select("a", "b")), docs, nodes, shingle, percent)
     labels = connected_components(one.filter("linked").select("a", "b"))
 
-    # round two: what is left between components of one list
+    # round two: what is left between components of one list or group
     placed = nodes.join(labels, "node", "left").select("node", "n", "grp", "bits", F.coalesce("component", "node").alias("c"))
     placed = write_table(placed, "placed")
-    members = write_table(lists.select("h", "grp").join(placed.select("node", "grp", "c"), "grp").select("h", "node", "c"), "members")
+    # a group that is still in parts is a list of its own: its lists may hold no other group
+    parted = placed.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    held = lists.select("h", "grp").unionByName(parted.select(F.col("grp").alias("h"), "grp"))
+    members = write_table(held.join(placed.select("node", "grp", "c"), "grp").select("h", "node", "c"), "members")
     mains = members.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts"))
     mains = mains.filter("parts > 1").select("h", F.col("most.c").alias("main"))
     near = write_table(members.join(mains, "h").select("main", "node", "c").distinct(), "near")

@@ -81,3 +81,15 @@ def test_keep_one_and_empty(spark):
     kept = sorted(r["source"] for r in jaccard_join.keep_one(docs).collect())
     assert kept == ["b", "c", "c", "d", "e"]
     assert jaccard_join.near_documents(docs.limit(0)).count() == 0
+
+
+def test_chains_inside_one_group(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):  # clusters that share no word, each a chain of texts that differ by a shingle a step
+        words = [f"c{k}w{rng.randrange(10**6)}" for _ in range(19)]
+        rows += [(rng.randrange(10**9), " ".join(words[s : s + 16])) for s in range(3 + k % 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_documents(docs).collect())
+    assert got == brute(rows)
+    assert jaccard_join.keep_one(docs).count() == 70
