@@ -2,21 +2,26 @@
 
 Fitted by two regressions (Hannan and Rissanen): a long autoregression gives residuals, and the differenced series is
 regressed on its own and the residuals' lags. Seasonal and ordinary lags multiply out, each product with a coefficient
-of its own; neither stationarity nor invertibility is enforced.
+of its own; neither stationarity nor invertibility is enforced. Both regressions run over the whole series, block by
+block: what a task holds of a series are its values, and one block of the design.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import ship
 
 
+#: Rows of a design that are held at once.
+BLOCK = 16_384
+
+
 @dataclass(frozen=True)
 class Order:
     """(p, d, q) and (P, D, Q, season)."""
@@ -40,8 +45,27 @@ def difference(x: np.ndarray, order: Order) -> tuple[np.ndarray, list[tuple[int,
     return x, undo
 
 
-def _columns(x: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
-    return [x[start - k : len(x) - k] for k in lags]
+def _designs(parts: list[tuple[np.ndarray, list[int]]], start: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of the rows from start on: a constant and, of every series of parts, its lags."""
+    size = len(parts[0][0])
+    for s in range(start, size, BLOCK):
+        e = min(s + BLOCK, size)
+        yield slice(s, e), np.column_stack([np.ones(e - s), *(x[s - k : e - k] for x, lags in parts for k in lags)])
+
+
+def _regression(z: np.ndarray, parts: list[tuple[np.ndarray, list[int]]], start: int) -> np.ndarray:
+    """Least squares of z on the designs: the triangular factor of all blocks stands for all rows."""
+    kept = np.zeros((0, 2 + sum(len(lags) for _, lags in parts)))
+    for rows, design in _designs(parts, start):
+        kept = np.linalg.qr(np.vstack([kept, np.column_stack([design, z[rows]])]), mode="r")
+    return np.linalg.lstsq(kept[:, :-1], kept[:, -1], rcond=np.finfo(float).eps * max(len(z) - start, kept.shape[1] - 1))[0]
+
+
+def _residuals(z: np.ndarray, parts: list[tuple[np.ndarray, list[int]]], start: int, coefficients: np.ndarray) -> np.ndarray:
+    out = np.empty(len(z) - start)
+    for rows, design in _designs(parts, start):
+        out[rows.start - start : rows.stop - start] = z[rows] - design @ coefficients
+    return out
 
 
 def forecast(x: np.ndarray, order: Order, steps: int) -> np.ndarray:
@@ -54,13 +78,13 @@ def forecast(x: np.ndarray, order: Order, steps: int) -> np.ndarray:
         return np.full(steps, float(x[-1]) if len(x) else 0.0)
     residual = np.zeros(len(z))
     if ma:
-        design = np.column_stack([np.ones(len(z) - long), *_columns(z, list(range(1, long + 1)), long)])
-        residual[long:] = z[long:] - design @ np.linalg.lstsq(design, z[long:], rcond=None)[0]
+        before = [(z, list(range(1, long + 1)))]
+        residual[long:] = _residuals(z, before, long, _regression(z, before, long))
         start = max(start, long + max(ma))
-    design = np.column_stack([np.ones(len(z) - start), *_columns(z, ar, start), *_columns(residual, ma, start)])
-    coefficients = np.linalg.lstsq(design, z[start:], rcond=None)[0]
+    parts = [(z, ar), (residual, ma)]
+    coefficients = _regression(z, parts, start)
     if ma:
-        residual[start:] = z[start:] - design @ coefficients
+        residual[start:] = _residuals(z, parts, start, coefficients)
     z, residual = list(z), list(residual)
     for _ in range(steps):
         row = [1.0, *(z[-k] for k in ar), *(residual[-k] for k in ma)]
@@ -75,11 +99,10 @@ def forecast(x: np.ndarray, order: Order, steps: int) -> np.ndarray:
     return np.array(out)
 
 
-def forecast_series(series: DataFrame, order: Order, steps: int, history: int = 20_000, key: str = "i", value: str = "y") -> DataFrame:
-    """key, step, yp for every entity, from at most its last `history` positions (what a task holds of a series)."""
+def forecast_series(series: DataFrame, order: Order, steps: int, key: str = "i", value: str = "y") -> DataFrame:
+    """key, step, yp for every entity, fitted to its whole series."""
     ship(series.sparkSession)
-    last = series.groupBy(key).agg(F.max("pos").alias("__last"))
-    rows = series.join(last, key).filter(F.col("pos") > F.col("__last") - history).select(key, "pos", value)
+    rows = series.select(key, "pos", value)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("pos")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridcast.operators import models, tuning, windows
@@ -97,6 +98,29 @@ def test_sarima_recovers_known_processes(spark):
     assert np.isclose(got[2, 1], 10.0) and len(got) == 4
 
 
+def test_sarima_fits_the_whole_series(spark):
+    from gridcast.operators import sarima
+
+    rng = np.random.default_rng(8)
+    e, x = rng.standard_normal(50_000), np.zeros(50_000)
+    for t in range(1, len(x)):  # a sharp change well before the last 20,000 positions
+        x[t] = (0.9 if t < 30_000 else -0.5) * x[t - 1] + e[t]
+    design = np.column_stack([np.ones(len(x) - 1), x[:-1]])
+    c = np.linalg.lstsq(design, x[1:], rcond=None)[0]
+    rows = pd.DataFrame({"i": 1, "pos": np.arange(len(x)), "y": x})
+    got = sarima.forecast_series(spark.createDataFrame(rows), sarima.Order((1, 0, 0)), 1).collect()
+    assert np.isclose(got[0]["yp"], c[0] + c[1] * x[-1])
+    # a moving average, against designs in one piece
+    long, z = 11, x
+    design = np.column_stack([np.ones(len(z) - long), *(z[long - k : len(z) - k] for k in range(1, long + 1))])
+    r = np.zeros(len(z))
+    r[long:] = z[long:] - design @ np.linalg.lstsq(design, z[long:], rcond=None)[0]
+    design = np.column_stack([np.ones(len(z) - long - 1), z[long:-1], r[long:-1]])
+    c = np.linalg.lstsq(design, z[long + 1 :], rcond=None)[0]
+    last = z[-1] - design[-1] @ c
+    assert np.isclose(sarima.forecast(z, sarima.Order((1, 0, 1)), 1)[0], c @ [1.0, z[-1], last])
+
+
 def test_report(spark):
     from gridcast.operators.forecasts import report
 
