@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -340,8 +341,8 @@ def trial_grid(spark, d):
 
 
 def _history(spark, d) -> DataFrame:
-    trials = tuning.trial_grid(spark, "gru", 2).unionByName(tuning.trial_grid(spark, "rnn", 2))
-    return tuning.run_trials(trials, _windows(spark, d), limit=2000, epochs=3)
+    trials = reduce(DataFrame.unionByName, (tuning.trial_grid(spark, kind) for kind in models.KINDS))
+    return tuning.run_trials(trials, _windows(spark, d), limit=2000)
 
 
 def train_history(spark, d):

@@ -77,6 +77,14 @@ def test_search_scoring_and_storage(spark, tmp_path):
     assert all(np.array_equal(back.weights[k], a) for k, a in fitted.weights.items())
 
 
+def test_registered_search_is_the_whole_grid(spark):
+    from gridcast.plans.registry import QUERIES
+
+    history = QUERIES["train_history"](spark, "/root/testdata/sf0.001").toPandas()
+    trials = {(t["model"], t["trial"]): t["epochs"] for kind in models.KINDS for t in tuning.trial_grid(spark, kind).collect()}
+    assert len(trials) == 80 and (history.groupby(["model", "trial"]).epoch.nunique().to_dict()) == trials
+
+
 def test_sarima_recovers_known_processes(spark):
     from gridcast.operators import sarima
 
