@@ -9,17 +9,20 @@ from pyspark.sql import Window as W
 from ..functions.columns import minute_slot
 
 
-def time_dimension(series: DataFrame, unit: str, ts: str = "ts") -> DataFrame:
-    """id_time (dense, from 1), time: the distinct starts of a unit. As long as the covered time, whatever the entities."""
+def time_dimension(series: DataFrame, unit: str, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
+    """[by,] id_time (dense, from 1), time: the distinct starts of a unit, over all rows or for every key of by.
+
+    A numbered table is as long as the covered time, whatever the entities: it is what a task sorts.
+    """
     start = F.date_trunc(unit, ts) if unit != "10min" else F.window(ts, "10 minutes").start
-    times = series.select(start.alias("time")).distinct()
-    return times.select(F.row_number().over(W.orderBy("time")).cast("long").alias("id_time"), "time")
+    times = series.select(*by, start.alias("time")).distinct()
+    return times.select(*by, F.row_number().over(W.partitionBy(*by).orderBy("time")).cast("long").alias("id_time"), "time")
 
 
-def join_times(series: DataFrame, times: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Left join of facts to the time dimension on id_time: broadcast while it has at most max_broadcast rows."""
+def join_times(series: DataFrame, times: DataFrame, max_broadcast: int = 2_000_000, on: str = "id_time") -> DataFrame:
+    """Left join of facts to the time dimension, by id or time: broadcast while it has at most max_broadcast rows."""
     small = times.limit(max_broadcast + 1).count() <= max_broadcast
-    return series.join(F.broadcast(times) if small else times, "id_time", "left")
+    return series.join(F.broadcast(times) if small else times, on, "left")
 
 
 def with_time_keys(rows: DataFrame, ts: str = "ts") -> DataFrame:

@@ -50,11 +50,8 @@ SMAPE = "100 * avg(abs(y - yp) / greatest(abs(y) + abs(yp), 1e-7::DOUBLE))"
 METRICS = f"round({RMSE}, 6) AS rmse, round({MAE}, 6) AS mae, round({NRMSE}, 6) AS nrmse, round({SMAPE}, 6) AS smape"
 
 SUPPLIERS = """
-su AS (
-  SELECT id, day, CASE WHEN id = 1 THEN 100 WHEN id = 2 AND day(day) = 1 THEN -5 WHEN id = 3 AND day(day) = 1 THEN NULL ELSE nb END AS nb
-  FROM (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS nb FROM lineitem GROUP BY ALL)
-  WHERE id <> 4 OR month(day) = 1
-), qb AS (
+su AS (SELECT l_suppkey AS id, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS nb FROM lineitem GROUP BY ALL),
+qb AS (
   SELECT id, count(*) AS n, count(*) - count(nb) AS nulls, min(nb) AS low, max(nb) AS high,
          quantile_cont(CAST(nb AS DOUBLE), 0.2) AS q20, quantile_cont(CAST(nb AS DOUBLE), 0.8) AS q80 FROM su GROUP BY id
 ), fe AS (SELECT *, q20 - 1.5 * (q80 - q20) AS lo, q80 + 1.5 * (q80 - q20) AS hi FROM qb),
@@ -64,15 +61,27 @@ SU = f"WITH {SUPPLIERS}"
 SU_DAY = "id, CAST(day AS VARCHAR) AS day, nb"
 
 
-def _times(unit: str, where: str = "TRUE") -> str:
-    start = "time_bucket(INTERVAL 10 MINUTE, ts)" if unit == "10min" else f"date_trunc('{unit}', ts)"
-    return f"SELECT row_number() OVER (ORDER BY time) AS id_time, CAST(time AS TIMESTAMP) AS time FROM (SELECT DISTINCT {start} AS time FROM ev WHERE {where})"
+def _start(unit: str) -> str:
+    return "time_bucket(INTERVAL 10 MINUTE, ts)" if unit == "10min" else f"date_trunc('{unit}', ts)"
+
+
+def _times(unit: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY time) AS id_time, CAST(time AS TIMESTAMP) AS time FROM (SELECT DISTINCT {_start(unit)} AS time FROM ev)"
+
+
+def _times_of_each(unit: str) -> str:
+    return f"SELECT i, row_number() OVER (PARTITION BY i ORDER BY time) AS id_time, CAST(time AS TIMESTAMP) AS time FROM (SELECT DISTINCT i, {_start(unit)} AS time FROM ev)"
 
 
 def _diff(part: str, table: str) -> str:
     return f"SELECT id_time, CAST({part}(time) - lag({part}(time)) OVER (ORDER BY id_time) AS INTEGER) AS diff FROM {table}"
 
 
+def _gaps(unit: str, part: str, cycle: int, fall: int, regular: int) -> str:
+    diffs = f"SELECT i, id_time, CAST({part}(time) - lag({part}(time)) OVER (PARTITION BY i ORDER BY id_time) AS INTEGER) AS diff FROM ({_times_of_each(unit)})"
+    return f"SELECT '{unit}' AS granularity, * FROM ({diffs}) WHERE NOT ((id_time % {cycle} = 0 AND diff = {fall}) OR diff = {regular})"
+
+
 TIME = "strftime(time, '%Y-%m-%d %H:%M:%S') AS time"
 WINDOWS = """
 ws AS (SELECT *, pos - min(pos) OVER (PARTITION BY i, split) AS sp, count(*) OVER (PARTITION BY i, split) AS m, CASE split WHEN 'test' THEN 1 ELSE 5 END AS st FROM yh),
@@ -98,7 +107,7 @@ ORACLES = {
     "resample_10min": f"{M} SELECT i, {D}, hr, mi, nb FROM mm",
     "join_time_dim": f"WITH {EVENTS}, tm AS ({_times('hour')}), hs AS (SELECT i, date_trunc('hour', ts) AS time, CAST(sum(nb) AS BIGINT) AS nb FROM ev GROUP BY ALL) SELECT i, id_time, strftime(tm.time, '%Y-%m-%d %H:%M:%S') AS time, nb FROM hs JOIN tm ON hs.time = tm.time",
     "derive_time_keys": f"WITH {EVENTS} SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INTEGER) AS hr, CAST(minute(ts) // 10 AS INTEGER) AS mi, CAST(second(ts) AS INTEGER) AS sec, CAST(day(ts) AS INTEGER) AS dom, i || '_' || CAST(CAST(ts AS DATE) AS VARCHAR) || '_' || hour(ts) AS id FROM ev",
-    "normalize_institution_id": "SELECT event_id, CAST(CAST(coalesce(CASE WHEN event_id % 7 <> 0 THEN CAST(user_id AS DOUBLE) END, 30) AS SMALLINT) AS VARCHAR) AS id_institution FROM events",
+    "normalize_institution_id": "SELECT event_id, CAST(CAST(coalesce(CAST(user_id AS DOUBLE), 30) AS SMALLINT) AS VARCHAR) AS id_institution FROM events",
     "fill_zero_cast": f"{H}, {HOUR_SPINE}, {HOUR_GRID} SELECT i, {D}, hr, CAST(coalesce(nb, 0) AS DOUBLE) AS nb FROM hg",
     "screen_institutions": f"{SU} SELECT id, n, q20, q80, status FROM st",
     "quantile_bounds": f"{SU} SELECT id, q20, q80, lo, hi FROM fe",
@@ -116,13 +125,13 @@ ORACLES = {
     "join_day_hour_10min": f"{H}, {DAY}, {TEN} SELECT dd.i, CAST(dd.day AS VARCHAR) AS day, dd.nb AS nb_day, hh.hr, hh.nb AS nb_hour, mi, mm.nb AS nb_10min FROM dd LEFT JOIN hh USING (i, day) LEFT JOIN mm ON mm.i = dd.i AND mm.day = dd.day AND mm.hr = hh.hr",
     "grid_spine": f"{M}, {TEN_SPINE} SELECT i, {D}, hr, mi FROM ms",
     "complete_grid": f"{MG} SELECT i, {D}, hr, mi, nb FROM mg",
-    "complete_days": f"WITH {EVENTS}, {DAY}, sp AS (SELECT i, min(day) AS a, max(day) AS b FROM dd WHERE day(day) % 3 <> 2 GROUP BY i) SELECT i, CAST(CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day FROM sp",
+    "complete_days": f"WITH {EVENTS}, {DAY}, sp AS (SELECT i, min(day) AS a, max(day) AS b FROM dd GROUP BY i) SELECT i, CAST(CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day FROM sp",
     "forward_fill": f"{MG} SELECT i, {D}, hr, mi, {_forward('hr, mi')} AS nb FROM mg",
     "fill_gaps": f"{MG} SELECT i, {D}, hr, mi, {_fill('hr, mi')} AS nb FROM mg",
     "sorted_grid": f"{MG} SELECT i, {D}, hr, mi, nb, row_number() OVER (PARTITION BY i ORDER BY day, hr, mi) - 1 AS pos FROM mg",
     "lag_diff": f"WITH {EVENTS}, tm AS ({_times('hour')}), df AS ({_diff('hour', 'tm')}) SELECT * FROM df WHERE diff IS NOT NULL",
-    "time_gap_report": f"WITH {EVENTS}, th AS ({_times('hour', 'i = 3')}), td AS ({_times('day', 'i = 3')}), dh AS ({_diff('hour', 'th')}), df AS ({_diff('day', 'td')}) SELECT 'hour' AS granularity, * FROM dh WHERE NOT ((id_time % 24 = 0 AND diff = -23) OR diff = 1) UNION ALL SELECT 'day', * FROM df WHERE NOT ((id_time % 31 = 0 AND diff = -30) OR diff = 1)",
-    "real_gaps": f"WITH {EVENTS}, th AS ({_times('hour', 'i = 3')}), g AS (SELECT id_time, CAST(epoch(time) - lag(epoch(time)) OVER (ORDER BY id_time) AS BIGINT) AS gap FROM th) SELECT * FROM g WHERE gap <> 3600",
+    "time_gap_report": f"WITH {EVENTS} {_gaps('day', 'day', 31, -30, 1)} UNION ALL {_gaps('hour', 'hour', 24, -23, 1)} UNION ALL {_gaps('10min', 'minute', 6, -50, 10)}",
+    "real_gaps": f"WITH {EVENTS}, g AS (SELECT i, id_time, CAST(epoch(time) - lag(epoch(time)) OVER (PARTITION BY i ORDER BY id_time) AS BIGINT) AS gap FROM ({_times_of_each('hour')})) SELECT * FROM g WHERE gap <> 3600",
     "time_dim_counts": f"WITH {EVENTS} SELECT 'day' AS granularity, count(*) AS n FROM ({_times('day')}) UNION ALL SELECT 'hour', count(*) FROM ({_times('hour')}) UNION ALL SELECT '10min', count(*) FROM ({_times('10min')})",
     "temporal_split": f"{HY} SELECT i, pos, split FROM sh",
     "minmax_fit": f"{HY} SELECT i, data_min, data_max FROM ch",

@@ -60,9 +60,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns or ("rmse", "mae", "nrmse", "smape")})
 
 
-def _times(spark: SparkSession, d: str, unit: str, entity: int | None = None) -> DataFrame:
-    rows = series.events(spark, d)
-    return timegrid.time_dimension(rows if entity is None else rows.filter(F.col("i") == entity), unit)
+def _times(spark: SparkSession, d: str, unit: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return timegrid.time_dimension(series.events(spark, d), unit, by=by)
 
 
 def _text(time: str = "time") -> Column:
@@ -80,7 +79,7 @@ def project_series(spark, d):
 def join_time_dim(spark, d):
     times = _times(spark, d, "hour")
     hours = series.events(spark, d).groupBy("i", F.date_trunc("hour", "ts").alias("time")).agg(F.sum("nb").alias("nb"))
-    keyed = hours.join(F.broadcast(times), "time").select("i", "id_time", "nb")
+    keyed = timegrid.join_times(hours, times, on="time").select("i", "id_time", "nb")
     return timegrid.join_times(keyed, times).select("i", "id_time", _text(), "nb")
 
 
@@ -92,8 +91,7 @@ def derive_time_keys(spark, d):
 
 def normalize_institution_id(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet")
-    raw = F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("double"))
-    return rows.select("event_id", normalised_entity(raw).alias("id_institution"))
+    return rows.select("event_id", normalised_entity(F.col("user_id").cast("double")).alias("id_institution"))
 
 
 def fill_zero_cast(spark, d):
@@ -168,8 +166,7 @@ def complete_grid(spark, d):
 
 
 def complete_days(spark, d):
-    rows = _series(spark, d, "day").filter(F.dayofmonth("day") % 3 != 2)
-    return _day(timegrid.complete_days(rows))
+    return _day(timegrid.complete_days(_series(spark, d, "day")))
 
 
 def forward_fill(spark, d):
@@ -190,12 +187,13 @@ def lag_diff(spark, d):
 
 
 def time_gap_report(spark, d):
-    parts = {g: calendar.gap_report(_times(spark, d, g, 3), g) for g in ("day", "hour")}
+    """Every entity's time table, at all granularities."""
+    parts = {g: calendar.gap_report(_times(spark, d, g, ("i",)), g, ("i",)) for g in PER_DAY}
     return windows.union_granularities(parts)
 
 
 def real_gaps(spark, d):
-    return calendar.real_gaps(_times(spark, d, "hour", 3), 3600)
+    return calendar.real_gaps(_times(spark, d, "hour", ("i",)), 3600, ("i",))
 
 
 def time_dim_counts(spark, d):

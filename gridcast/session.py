@@ -3,27 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Masters whose executor is the driver itself.
+LOCAL = re.compile(r"local(\[|$)")
+
 
 def get_spark(app: str = "gridcast", cpus: int | None = None) -> SparkSession:
     """The running session, or a local one with the settings the engine is tested under."""
-    cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit has set master, memory and partitions already
+        cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+        builder = builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", "8g")
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    return builder.getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,9 +39,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary one if driver and executors are one process (master local), else ValueError.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_gridcast_shared", None)
     if not found:
+        if not LOCAL.match(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = context._gridcast_shared = f"file://{tempfile.mkdtemp(prefix='gridcast-shared-')}"
     return found.rstrip("/")

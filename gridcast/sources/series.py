@@ -51,20 +51,7 @@ def resample(rows: DataFrame, granularity: str) -> DataFrame:
     return rows.groupBy("i", *(keys[k].alias(k) for k in names)).agg(F.sum("nb").alias("nb"))
 
 
-def supplier_series(spark: SparkSession, sf_dir: str, perturbed: bool = True) -> DataFrame:
-    """id, day, nb: lineitem quantities by supplier and ship date.
-
-    perturbed: suppliers 1 to 4 get a constant, a negative, a null and a short series, for the classes of screening.
-    """
+def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, day, nb: lineitem quantities by supplier and ship date."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = rows.groupBy(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_quantity").cast("long")).alias("nb"))
-    if not perturbed:
-        return rows
-    first = F.dayofmonth("day") == 1
-    nb = (
-        F.when(F.col("id") == 1, F.lit(100))
-        .when((F.col("id") == 2) & first, F.lit(-5))
-        .when((F.col("id") == 3) & first, F.lit(None).cast("long"))
-        .otherwise(F.col("nb"))
-    )
-    return rows.filter((F.col("id") != 4) | (F.month("day") == 1)).withColumn("nb", nb)
+    return rows.groupBy(F.col("l_suppkey").alias("id"), F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_quantity").cast("long")).alias("nb"))
