@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,30 +15,69 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, ship
 
-#: Rows of text handed to a Python worker at once; bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Bytes handed to a Python worker at once, and rows worked on together: they bound a worker's memory.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 
+_open = threading.local()
 
-def prepare(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
-    """Make this package known to Python workers and bound the Arrow batches they get."""
+
+def prepare(spark: SparkSession) -> None:
+    """Make this package known to Python workers and bound the bytes of an Arrow batch: the same for every operator, as
+    results are lazy and share the session."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written in the block go when it ends; what it returns has to be written with keep."""
+    outer = getattr(_open, "paths", None)
+    _open.paths = own = []
+    try:
+        yield
+    finally:
+        _open.paths = outer
+        for path in own:
+            _delete(spark, path)
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_table(df: DataFrame, name: str, outer: list | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later plans start from committed files.
 
-    The files go when the driver's file system closes.
+    The files go with the scratch block they are written in, or when the driver's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridcast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    paths = getattr(_open, "paths", None) if outer is None else outer
+    if paths is not None:
+        paths.append(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def around() -> list:
+    """The tables of the scratch block that is open now, for write_table(..., outer) from blocks within; a list that
+    nothing deletes where none is."""
+    paths = getattr(_open, "paths", None)
+    return [] if paths is None else paths
+
+
 def _give_back() -> None:
     """Return freed memory to the system: an idle worker stays beside the JVM in the executor's limit."""
     gc.collect()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, prepare, released, write_table
+from .common import key_runs, pieces, prepare, released, write_table
 from .components import connected_components
 
 SEED = 20240
@@ -40,7 +40,7 @@ def _codes(bits: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         place = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 2000):
             vectors = batch.column("vec").to_pylist()
             out = np.zeros((len(vectors), tables), dtype=np.int64)
             dims = np.array([len(v) for v in vectors])
@@ -128,7 +128,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     groups = rows.filter(F.col("vec").isNotNull()).groupBy(h1, h2).agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     groups = write_table(groups.withColumn("gid", F.monotonically_increasing_id()), "vectors")
     bits, tables = _tables(groups.count(), threshold, recall)
-    prepare(spark, 2000)
+    prepare(spark)
     coded = write_table(groups.mapInArrow(released(_codes(bits, tables)), "gid long, id long, w long, h1 long, h2 long, raw binary, codes array<long>"), "codes")
     dim = F.octet_length("raw").alias("dim")
     placed = coded.select("gid", dim, F.posexplode("codes").alias("t", "code"))

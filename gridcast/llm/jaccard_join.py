@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, prepare, released, text_bytes, write_table
+from .common import key_runs, pieces, prepare, released, text_bytes, write_table
 from .components import connected_components
 
 #: Sets that share a hash for it to go last in the order, and how many such hashes workers are sent (8 bytes each).
@@ -104,7 +104,7 @@ def _low(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in text_bytes(batch.column("text")):
                 s = shingles(text, k)
@@ -124,7 +124,7 @@ def _prefixes(k: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         nodes: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             n, node, group, prefix, bits = [], [], [], [], []
             for text, known in zip(text_bytes(batch.column("text")), batch.column("id").is_valid().to_pylist(), strict=True):
                 s = shingles(text, k)
@@ -155,7 +155,7 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             node, out = [], []
             for text, want in zip(text_bytes(batch.column("text")), batch.column("node").to_pylist(), strict=True):
                 if want in seen:
@@ -273,7 +273,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     nodes = write_table(nodes, "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"))
 
-    prepare(spark, 20_000)
+    prepare(spark)
     postings = rows.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("place", "h"), "n", "grp")
     postings = postings.repartition("h").sortWithinPartitions("h", "n", "grp")
     lists = write_table(postings.mapInArrow(released(_lists(percent)), "h long, n long, grp long, place int, leader long"), "lists")
@@ -304,7 +304,7 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col:
     near = near.select("main", "node", F.explode(F.array_compact(F.array(*roles))).alias("r"))
     near = near.select("main", "node", "r.role", F.explode("r.a").alias("ba"), "r.b").select("main", "node", "role", "ba", F.explode("b").alias("bb"))
     near = near.join(placed.select("node", "n", "c", "bits"), "node")
-    prepare(spark, 5_000)
+    prepare(spark)
     keys = ["main", "ba", "bb"]
     pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_cross(percent)), "a long, b long")
     pairs = write_table(pairs, "across").distinct().join(one.select("a", "b"), ["a", "b"], "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, released, text_bytes
+from .common import pieces, prepare, released, text_bytes
 
 #: Bytes compressed at once: as long as a dictionary still matters in it.
 BLOCK = 2048
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sample_bytes:
 def _scores(model: Model, column: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad) if model.good else lambda texts: np.zeros((len(texts), 3))
-        for batch in batches:
+        for batch in pieces(batches):
             found = probability(model.curve, sizes(text_bytes(batch.column(column))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 

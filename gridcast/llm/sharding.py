@@ -35,7 +35,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
     spark = docs.sparkSession
-    prepare(spark, 10_000)
+    prepare(spark)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
