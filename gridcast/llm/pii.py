@@ -1,17 +1,23 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers found by fixed patterns. The
-corpus then says how strongly other terms reveal them: for an entity c and a term t (a run of letters within
-`window` characters of it) over all distinct texts, PMI(c; t) = log n(c,t) n / (n(c) n(t)). A term that occurs with c in at
-least `support` distinct texts discloses c where PMI reaches `generalise` of the entity's information log n / n(c); it
-is then generalised, and removed where PMI reaches `remove` of it. Such terms are added spans of kind `term`.
+Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers found by fixed patterns. Each
+entity is protected as itself and as its class, so that entities which occur once are covered: the domain of an
+address, the first half of an IP address, the issuer's digits of a card, country and area digits of a phone number.
 
-Entities that meet the same pattern are told apart by their text. A document is read twice: once for entities and
-their contexts, once for the document counts of candidate terms; what moves between tasks are entities and terms, not texts.
+The corpus then says how strongly other terms (runs of letters outside of addresses) reveal a protected entity c. Over
+all distinct texts, whole, n(c, t) texts hold both; PMI(c; t) = log2 n(c,t) n / (n(c) n(t)), and c itself has log2
+n / n(c) bits of information. A term discloses c where PMI reaches `generalise` of c's information, and where the
+n(c,t) joint texts together carry enough bits to tell it from chance: n(c,t) log2 n / n(c) must exceed by `margin` the
+bits that pick one of all pairs of an entity and a term, so that about 2^-margin pairs are expected to do so by chance
+in the whole corpus, of any size. That asks for two joint texts of a rare entity and for more of a common one. A disclosing term is generalised, or removed where PMI reaches `remove` of
+c's information, wherever it occurs in any text. Such terms are added spans of kind `term`.
+
+Spans depend on a text alone, so terms travel under 128 bits of hash of the text. Texts are scanned for entities, for
+the terms of texts that hold some, for the document counts of candidate terms, and for the places of disclosing ones.
 
 Cases: null text is empty; ids may be null or repeat (rows are told apart); entities or terms in one text count once
-and equal texts count once; overlaps between kinds stay; a text without findings has empty spans; an empty table gives
-no rows; other columns aren't carried.
+and equal texts count once; overlaps between base kinds stay, terms that overlap an address are not marked; a text
+without findings has empty spans; an empty table gives no rows; other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import write_table
+from .common import around, scratch, write_table
 
 #: Fixed patterns, each written so that a failed start isn't tried again within the same run of characters.
 PATTERNS = {
@@ -33,8 +39,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 OCTET = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
-TERM = r"\p{L}+"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+#: Candidate terms (16 bytes each) up to which they are sent to all executors.
+MAX_BROADCAST = 500_000
+SAME = ["s1", "s2"]
 
 
 def _valid() -> Column:
@@ -48,77 +56,119 @@ def _valid() -> Column:
     )
 
 
-def _terms(text: Column, base: Column) -> Column:
-    """(term, from, to) of every run of letters of a short text, places counted from base."""
-    runs = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.split(text, TERM, -1)
-    widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda g, r: F.length(g) + F.length(r))
-    end = lambda i: base + F.aggregate(F.slice(widths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-    return F.transform(runs, lambda r, i: F.struct(F.lower(r).alias("term"), (end(i) - F.length(r)).alias("from"), end(i).alias("to")))
-
-
-def _hit(kind: int, gaps: str, window: int):
-    """One hit, with the length of the gap before it and what of the gaps lies around it."""
-    return lambda h, i: F.struct(
-        F.lit(kind).alias("kind"),
-        i.alias("i"),
-        h.alias("hit"),
-        F.length(F.get(gaps, i)).alias("gap"),
-        F.right(F.get(gaps, i), F.lit(window)).alias("before"),
-        F.left(F.get(gaps, i + 1), F.lit(window)).alias("after"),
+def _class() -> Column:
+    """What of an entity it shares with others of its kind."""
+    digits = F.regexp_replace("hit", "[^0-9]", "")
+    return (
+        F.when(F.col("kind") == 0, F.lower(F.substring_index("hit", "@", -1)))
+        .when(F.col("kind") == 1, F.substring_index("hit", ".", 2))
+        .when(F.col("kind") == 2, F.left(digits, F.lit(6)))
+        .otherwise(F.left(digits, F.lit(4)))
     )
 
 
-def _hits(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """A row of kind -1 for every document, and one for every hit with its place and the texts around it."""
+def _same(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(i), text).alias(s) for i, s in enumerate(SAME, 1)]
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct terms of a text, in small letters, outside of addresses."""
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.transform(F.array_remove(F.array_distinct(F.split(F.lower(plain), r"\P{L}+")), ""), lambda t: F.xxhash64(t))
+
+
+def _hit(kind: int, gaps: str):
+    """One hit, with the length of the gap before it."""
+    return lambda h, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), h.alias("hit"), F.length(F.get(gaps, i)).alias("gap"))
+
+
+def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row of kind -1 for every document, and one for every hit with its place."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    empty = F.array().cast("array<struct<kind:int,i:int,hit:string,gap:int,before:string,after:string>>")
-    found = [F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit("").alias("hit"), F.lit(0).alias("gap"), F.lit("").alias("before"), F.lit("").alias("after")))]
+    empty = F.array().cast("array<struct<kind:int,i:int,hit:string,gap:int>>")
+    found = [F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit("").alias("hit"), F.lit(0).alias("gap")))]
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
         hits, gaps = f"hits_{kind}", f"gaps_{kind}"
         tried = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
         rows = rows.withColumn(hits, F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         rows = rows.withColumn(gaps, F.when(F.size(hits) > 0, F.split("text", pattern, -1)))
-        found.append(F.when(F.size(hits) > 0, F.transform(hits, _hit(k, gaps, window))).otherwise(empty))
-    rows = rows.withColumn("same", F.xxhash64("text"))
-    return rows.select("row", "id", "same", F.inline(F.concat(*found)))
+        found.append(F.when(F.size(hits) > 0, F.transform(hits, _hit(k, gaps))).otherwise(empty))
+    return rows.select("row", "id", *_same(F.col("text")), F.inline(F.concat(*found)))
 
 
-def find(docs: DataFrame, window: int = 60, support: int = 5, generalise: float = 0.9, remove: float = 0.99, min_term: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, spans: array of (kind, from, to, action), sorted, for every row of docs."""
-    hits = _hits(docs, window, id_col, text_col)
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, id, s1, s2 of every document (kind -1) and of every valid hit, with kind, hit, from and to."""
+    hits = _hits(docs, id_col, text_col)
     order = W.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("hit")).over(order.rowsBetween(W.unboundedPreceding, 0))
     hits = hits.withColumn("to", end.cast("int")).withColumn("from", (F.col("to") - F.length("hit")).cast("int"))
-    hits = write_table(hits.filter((F.col("kind") < 0) | _valid()), "pii")
-    entities = hits.filter("kind >= 0").withColumn("entity", F.xxhash64("kind", F.lower("hit")))
-    whole = hits.filter("kind < 0")
-
-    # contexts: the terms around an entity, at most a window on either side
-    around = F.concat(_terms(F.col("before"), F.col("from") - F.length("before")), _terms(F.col("after"), F.col("to")))
-    contexts = entities.select("row", "same", "entity", F.inline(around)).filter(F.length("term") >= min_term)
-    contexts = contexts.withColumn("t", F.xxhash64("term"))
-    pairs = contexts.select("entity", "t", "same").distinct().groupBy("entity", "t").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= support)
-    n_c = entities.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n = whole.agg(F.countDistinct("same").alias("n"))  # one row
-    share = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t"))) / F.when(F.col("n") > F.col("n_c"), F.log2(F.col("n") / F.col("n_c")))
-    # a term is in as many texts at least as it is in contexts of any entity: most common words end here
-    at_least = contexts.select("t", "same").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
-    pairs = pairs.join(n_c, "entity").join(at_least, "t").crossJoin(F.broadcast(n))
-    pairs = write_table(pairs.filter(share >= generalise).drop("n_t"), "pairs")
-    # document counts of the remaining terms over all texts
+    return hits.filter((F.col("kind") < 0) | _valid()).select("row", "id", *SAME, "kind", "hit", "from", "to")
+
+
+def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: float, margin: float, text_col: str) -> DataFrame:
+    """t (hash of a term), action of every term that discloses a protected entity, and the texts (s1, s2) it is in."""
+    entities = hits.filter("kind >= 0").select(*SAME, F.explode(F.array(F.xxhash64(F.lit(0), "kind", F.lower("hit")), F.xxhash64(F.lit(1), "kind", _class()))).alias("entity")).distinct()
+    n_c = entities.groupBy("entity").agg(F.count("*").alias("n_c")).filter("n_c > 1")  # n(c, t) = 1 is never enough
+    entities = write_table(entities.join(n_c.select("entity"), "entity", "left_semi"), "entities")
+    n_c = write_table(n_c, "entity_counts")
+    texts = hits.filter("kind < 0").select(*SAME).distinct()
+    n = texts.agg(F.count("*").alias("n"))  # one row
+
+    # terms of the texts that hold an entity
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.xxhash64(text).alias("same"), F.explode(F.array_distinct(F.split(F.lower(text), r"\P{L}+"))).alias("term"))
-    words = words.select("same", F.xxhash64("term").alias("t")).join(pairs.select("t").distinct(), "t", "left_semi")
-    n_t = words.distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    held = docs.select(*_same(text), text.alias("text")).join(entities.select(*SAME).distinct(), SAME, "left_semi")
+    held = held.dropDuplicates(SAME).select(*SAME, F.explode(_terms(F.col("text"))).alias("t"))
+    held = write_table(held, "terms")
+    # a term is in as many texts at least as it is in texts with an entity: most common words end here
+    at_least = held.groupBy("t").agg(F.count("*").alias("n_t"))
+    tests = F.broadcast(at_least.agg(F.count("*").alias("n_terms")).crossJoin(n_c.agg(F.count("*").alias("n_entities"))).crossJoin(n))  # one row
+    info = F.log2(F.col("n") / F.col("n_c"))
+    share = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t"))) / F.when(F.col("n") > F.col("n_c"), info)
+    pairs = held.join(entities, SAME).groupBy("entity", "t").agg(F.count("*").alias("n_ct")).filter("n_ct > 1")
+    pairs = pairs.join(n_c, "entity").crossJoin(tests).filter(F.col("n_ct") * info >= F.log2("n_terms") + F.log2("n_entities") + margin)
+    pairs = write_table(pairs.join(at_least, "t").filter(share >= generalise).select("entity", "t", "n_ct", "n_c", "n"), "pairs")
+
+    # document counts of the remaining terms over all texts
+    asked = pairs.select("t").distinct()
+    if asked.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        asked = F.broadcast(asked)
+    uses = docs.select(*_same(text), F.explode(_terms(text)).alias("t")).join(asked, "t", "left_semi").distinct()
+    uses = write_table(uses, "uses")
+    n_t = uses.groupBy("t").agg(F.count("*").alias("n_t"))
     risk = pairs.join(n_t, "t").withColumn("share", share).filter(F.col("share") >= generalise)
-    risk = risk.select("entity", "t", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
-    terms = contexts.join(risk, ["entity", "t"]).select("row", F.lit(len(KINDS) - 1).alias("kind"), "from", "to", "action")
-    terms = terms.groupBy("row", "kind", "from", "to").agg(F.max("action").alias("action"))
-    base = hits.filter("kind >= 0").select("row", "kind", "from", "to", F.lit("generalise").alias("action"))
-    spans = base.unionByName(terms).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "from", "to", "action"))).alias("spans"))
+    risk = risk.groupBy("t").agg(F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("action"))
+    return uses.join(risk, "t")
+
+
+def _places(docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
+    """s1, s2, from, to, action of every occurrence of marked terms (s1, s2, t, action) in their texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(*_same(text), text.alias("text")).join(marked.select(*SAME).distinct(), SAME, "left_semi").dropDuplicates(SAME)
+    runs = texts.select(*SAME, F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("i", "run"))
+    runs = runs.select(*SAME, "i", F.length("run").alias("k"), F.xxhash64(F.lower("run")).alias("t"))
+    end = F.sum("k").over(W.partitionBy(*SAME).orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    runs = runs.withColumn("to", end).join(marked, [*SAME, "t"])
+    return runs.select(*SAME, (F.col("to") - F.col("k")).alias("from"), "to", "action")
+
+
+def find(docs: DataFrame, generalise: float = 0.9, remove: float = 0.99, margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, spans: array of (kind, from, to, action), sorted, for every row of docs."""
+    outer = around()
+    with scratch(docs.sparkSession):
+        hits = write_table(_base(docs, id_col, text_col), "pii", outer)
+        marked = write_table(disclosing(docs, hits, generalise, remove, margin, text_col), "marked")
+        places = _places(docs, marked, text_col)
+        places = places.groupBy(*SAME).agg(F.collect_list(F.struct(F.lit(len(KINDS) - 1).alias("kind"), "from", "to", "action")).alias("terms"))
+        places = write_table(places, "places", outer)
+    spans = F.struct("kind", "from", "to", F.lit("generalise").alias("action"))
+    base = hits.groupBy("row").agg(F.first("id").alias("id"), *(F.first(s).alias(s) for s in SAME), F.collect_list(F.when(F.col("kind") >= 0, spans)).alias("base"))
+    rows = base.join(places, SAME, "left")
+    emails = F.filter("base", lambda b: b["kind"] == 0)
+    apart = lambda t: ~F.exists("emails", lambda b: (b["from"] < t["to"]) & (t["from"] < b["to"]))
+    rows = rows.withColumn("emails", emails)
+    terms = F.when(F.size("emails") > 0, F.filter("terms", apart)).otherwise(F.col("terms"))
     none = F.array().cast("array<struct<kind:int,from:int,to:int,action:string>>")
-    return whole.select("row", "id").join(spans, "row", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), F.sort_array(F.concat("base", F.coalesce(terms, none))).alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
