@@ -2,6 +2,9 @@
 
 Each round points every node at its smallest neighbour, follows the pointers to their roots by doubling, and replaces
 the edges by those between roots, of which there are at most half as many. Nothing is gathered on the driver but counts.
+
+Cases: edges with a null end, loops and repeats are harmless; nodes without an edge to another node have no row; no
+edges give no rows.
 """
 
 from __future__ import annotations
@@ -9,11 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import around, scratch, write_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) of every node of edges (a, b); loops and repeats are harmless."""
+    """node, component (its smallest reachable node) of every node of edges (a, b)."""
+    outer = around()
+    with scratch(edges.sparkSession):
+        return write_table(_labels(edges), "components", outer)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = write_table(edges.filter("a <> b").select(ends.alias("e")).select("e.*").distinct(), "edges")
     labels = None

@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on word shingles by a grouped prefix join, and its connected components.
 
-A document becomes its set of distinct `shingle`-word windows, as 64-bit hashes; equal sets are one node. All sets
-are put in one global order: hashes that many sets share (found exactly among the first five sixteenths of every set's
+A document becomes its set of distinct `shingle`-word windows, as 64-bit hashes; sets of equal 128-bit digest are one
+node. All sets are put in one global order: hashes that many sets share (found exactly among the first five sixteenths of every set's
 hashes) last, then by hash value. Two sets as similar as the threshold share one of their first floor(n/4)+1 hashes,
 so only these prefixes meet, and a pair only where the hash stands early enough in both for the overlap that their
 sizes ask for. Sets of equal prefix and size form a group, and a group has one posting per prefix hash.
@@ -11,17 +11,23 @@ leader of their size class: at most as many pairs as postings, however large a l
 which the list's hash stands earliest: with shared hashes last, it has the fewest of its own, and so is the one most
 others are near to. Of equals, one of LEADERS orders decides, picked by the list's hash: the many lists that a large
 cluster shares give its members a few leaders to link with, not as many as lists. Components of the verified links
-follow. Round two settles the rest. Lists, and groups, whose sets still lie in different components are merged by the
-component that most of their sets are in, and every set of a merged list outside that component is compared with all of
-the list, blocks against blocks. A link that neither round looks at joins sets of one component, so the components are
-those of all links.
+follow. Round two settles the rest: lists, and groups, whose sets still lie in different components. Every set outside
+the component that most of a list's sets are in is compared with the list, blocks against blocks; lists that agree in
+that component and in the smallest set outside of it are compared as one, so that the many lists of one passage don't
+repeat each other's pairs. A link that neither round looks at joins sets of one component, so the components are those
+of all links.
+
+A list of a shared hash would pair all sets that are mostly made of some common passage. But a set with such a hash in
+its prefix has all of its unshared hashes there, so two of them that have any unshared hash in common meet in that
+one's list; in the shared hash's own list only pairs count that are similar enough by shared hashes alone. Sets that
+are too far from the smallest one of the list for that leave it.
 
 Before whole sets are compared, pairs pass an exact bound: every node has a bitmap of the parities of its hashes by
 their low bits, and the bits in which two bitmaps differ are at most the hashes in which the sets differ.
 
 Cases: a text of fewer words is one shingle of all its words; null and empty texts, and rows without id, link with
-nothing; equal texts link; rows of one id are one document for components; an empty table gives no rows; other columns
-aren't carried, except by `keep_one`.
+nothing; equal texts link; rows of one id are one document, whatever their texts, and in one component; an empty table
+gives no rows; other columns aren't carried, except by `keep_one`.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, pieces, prepare, released, text_bytes, write_table
+from .common import around, key_runs, pieces, prepare, released, scratch, text_bytes, write_table
 from .components import connected_components
 
 #: Sets that share a hash for it to go last in the order, and how many such hashes workers are sent (8 bytes each).
@@ -43,7 +49,7 @@ HEAVY, MAX_HEAVY = 50, 250_000
 #: Orders by which lists pick their leader; it only moves work between the rounds.
 LEADERS = 8
 #: Members of a merged list that are compared in one go; longer ones are dealt out as pairs of blocks.
-BLOCK = 4096
+BLOCK = 1024
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,33 +125,31 @@ def _low(k: int):
 
 
 def _prefixes(k: int, heavy: np.ndarray):
-    """Per document: id, set size, node (of the set), group (of prefix and size), the prefix once per group and task, the bitmap once per node and task."""
+    """Per document: id, set size, digest (of the set), how many of its hashes aren't shared, group (of prefix and size), the prefix once per group and task, the bitmap once per digest and task.
+
+    Groups of equal 64-bit digest are taken for one: that compares more, and loses no link, as every member of a group
+    that ends up in parts is compared in round two; what a task has seen is told by 128 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        nodes: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        nodes: set[tuple[int, int]] = set()
         for batch in pieces(batches):
-            n, node, group, prefix, bits = [], [], [], [], []
+            out = []
             for text, known in zip(text_bytes(batch.column("text")), batch.column("id").is_valid().to_pylist(), strict=True):
                 s = shingles(text, k)
-                n.append(len(s))
                 if not len(s) or not known:
-                    node.append(None)
-                    group.append(None)
-                    prefix.append(None)
-                    bits.append(None)
+                    out.append((len(s), None, None, None, None, None, None))
                     continue
                 late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s if len(heavy) else np.zeros(len(s), dtype=bool)
                 p = np.concatenate([s[~late], s[late]])[: len(s) // 4 + 1]
-                g = _digest(p, len(s))
-                node.append(_digest(s, 0))
-                bits.append(None if node[-1] in nodes else parities(s))
-                nodes.add(node[-1])
-                group.append(g)
-                prefix.append(None if g in seen else p.view(np.int64))
-                seen.add(g)
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", "grp", "prefix", "bits"])
+                node, group = (_digest(s, 0), _digest(s, 1)), (_digest(p, len(s)), _digest(p, -len(s) % (1 << 63)))
+                out.append((len(s), *node, len(s) - int(late.sum()), group[0], None if group in seen else p.view(np.int64), None if node in nodes else parities(s)))
+                nodes.add(node)
+                seen.add(group)
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "n", "d1", "d2", "light", "grp", "prefix", "bits"])
 
     return run
 
@@ -157,11 +161,12 @@ def _sets(k: int):
         seen: set[int] = set()
         for batch in pieces(batches):
             node, out = [], []
-            for text, want in zip(text_bytes(batch.column("text")), batch.column("node").to_pylist(), strict=True):
+            wanted = zip(*(batch.column(c).to_pylist() for c in ("node", "d1", "d2")), strict=True)
+            for text, (want, d1, d2) in zip(text_bytes(batch.column("text")), wanted, strict=True):
                 if want in seen:
                     continue
                 s = shingles(text, k)
-                if len(s) and _digest(s, 0) == want:
+                if len(s) and (_digest(s, 0), _digest(s, 1)) == (d1, d2):  # rows of one id may differ in text
                     seen.add(want)
                     node.append(want)
                     out.append(s.view(np.int64))
@@ -175,7 +180,7 @@ def _lists(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in key_runs(batches, ["h"]):
-            h, n, g, place = (table.column(c).to_numpy() for c in ("h", "n", "grp", "place"))
+            h, n, g, place, light = (table.column(c).to_numpy() for c in ("h", "n", "grp", "place", "light"))
             first = np.ones(len(h), dtype=bool)
             first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])  # a group from several tasks
             # the smallest set of a list asks for the least overlap, and so for the longest prefix
@@ -185,7 +190,7 @@ def _lists(percent: int):
             many = np.repeat(counts > 1, np.diff(starts)) & first
             if not many.any():
                 continue
-            h, n, g, place = h[many], n[many], g[many], place[many]
+            h, n, g, place, shared = h[many], n[many], g[many], place[many], (place >= light)[many]
             # within a class sizes are compatible, and ascending sizes keep a list's classes together
             kind = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
             cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
@@ -197,7 +202,7 @@ def _lists(percent: int):
             own = rank == least[runs]
             lead[runs[own]] = g[own]
             leader = lead[runs]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n, g, place, leader)], ["h", "n", "grp", "place", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, shared, leader)], ["h", "grp", "shared", "leader"])
 
     return run
 
@@ -206,7 +211,7 @@ def _cross(percent: int, at_once: int = 256):
     """Pairs of a sought node (role 0) and any other of the same block, across components, that sizes and bitmaps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in key_runs(batches, ["main", "ba", "bb"]):
+        for table, starts in key_runs(batches, ["main", "via", "ba", "bb"]):
             node, n, c, role = (table.column(k).to_numpy() for k in ("node", "n", "c", "role"))
             raw, out = table.column("bits").to_pylist(), []
             sizes = np.array([len(x) for x in raw])
@@ -238,15 +243,13 @@ def _cross(percent: int, at_once: int = 256):
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b, linked of the distinct pairs of nodes (a, b) that pass the bitmaps, by the whole sets."""
-    spark = docs.sparkSession
-    prepare(spark)
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_possible(percent)), "a long, b long")
     pairs = write_table(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(nodes.select("node", "first_id"), "node")
-    texts = docs.join(asked, F.col("id") == F.col("first_id")).select("node", "text")
+    asked = asked.join(nodes.select("node", "d1", "d2", "first_id"), "node")
+    texts = docs.join(asked, F.col("id") == F.col("first_id")).select("node", "d1", "d2", "text")
     sets = write_table(texts.mapInArrow(released(_sets(k)), "node long, set array<long>"), "sets")
     sets = sets.dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
@@ -256,67 +259,97 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
     return write_table(both.select("a", "b", (F.col("common") * 100 >= percent * (F.col("sum") - F.col("common"))).alias("linked")), "verified")
 
 
-def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row of docs. percent: the least similarity, 75 or more."""
-    if percent < 75:
-        raise ValueError("prefixes of a quarter need a similarity of 0.75 at least")
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _candidates(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets in different components that share a list or group, and that sizes and bitmaps allow."""
+    # a group that is still in parts is a list of its own: its lists may hold no other group
+    parted = placed.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    held = lists.select("h", "grp", "shared").unionByName(parted.select(F.col("grp").alias("h"), "grp", F.lit(False).alias("shared")))
+    held = held.withColumn("kind", F.col("shared").cast("int"))  # a hash and a group of one number are lists apart
+    members = write_table(held.join(placed.select("node", "grp", "c", "n", "light"), "grp").select("h", "kind", "node", "c", "n", "light"), "members")
+    keys = ["h", "kind"]
+    mains = members.groupBy(*keys, "c").agg(F.count("*").alias("k"), F.min("n").alias("n")).groupBy(*keys)
+    mains = mains.agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts"), F.min("n").alias("least")).filter("parts > 1")
+    members = members.join(mains.select(*keys, F.col("most.c").alias("main"), "least"), keys)
+    # by shared hashes alone a set is similar to others of at most this size
+    reach = lambda other: (F.col("kind") == 0) | ((100 + percent) * (F.col("n") - F.col("light")) >= percent * (F.col("n") + F.col(other)))
+    members = members.filter(reach("least"))
+    outside = members.filter("c <> main").groupBy(*keys).agg(F.min("node").alias("via"), F.min("n").alias("least_outside"))
+    near = members.join(outside, keys).filter((F.col("c") != F.col("main")) | reach("least_outside"))
+    near = write_table(near.select("main", "via", "node", "c").distinct(), "near")
+    lists_of = ["main", "via"]
+    sought = F.count_if(F.col("c") != F.col("main"))
+    blocks = near.groupBy(*lists_of).agg(F.ceil(sought / BLOCK).cast("int").alias("blocks_a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_b"))
+    near = near.join(blocks, lists_of).withColumn("own", F.xxhash64("node", "main"))
+    own = lambda k: F.array(F.pmod("own", F.col(k)).cast("int"))
+    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    roles = [F.struct(F.lit(1).alias("role"), every("blocks_a").alias("a"), own("blocks_b").alias("b")), F.when(F.col("c") != F.col("main"), F.struct(F.lit(0).alias("role"), own("blocks_a").alias("a"), every("blocks_b").alias("b")))]
+    near = near.select(*lists_of, "node", F.explode(F.array_compact(F.array(*roles))).alias("r"))
+    near = near.select(*lists_of, "node", "r.role", F.explode("r.a").alias("ba"), "r.b").select(*lists_of, "node", "role", "ba", F.explode("b").alias("bb"))
+    near = near.join(placed.select("node", "n", "c", "bits"), "node")
+    keys = [*lists_of, "ba", "bb"]
+    pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_cross(percent)), "a long, b long")
+    return write_table(pairs, "across").distinct()
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, n, component of every row of docs (id, text)."""
     texts = docs.filter(F.col("id").isNotNull())
-    prepare(spark)
     common = texts.select("text").mapInArrow(released(_low(shingle)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     common = common.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "h").limit(MAX_HEAVY).select("h")
     heavy = np.sort(common.toArrow().column("h").to_numpy().view(np.uint64))
-    schema = "id long, n long, node long, grp long, prefix array<long>, bits binary"
+    schema = "id long, n long, d1 long, d2 long, light long, grp long, prefix array<long>, bits binary"
     rows = write_table(docs.mapInArrow(released(_prefixes(shingle, heavy)), schema), "prefixes")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits", ignorenulls=True).alias("bits"))
-    nodes = write_table(nodes, "nodes")
+    first = lambda c: F.first(c).alias(c)
+    nodes = rows.filter("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("first_id"), first("n"), first("light"), first("grp"), F.first("bits", ignorenulls=True).alias("bits"))
+    nodes = write_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"))
 
-    prepare(spark)
-    postings = rows.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("place", "h"), "n", "grp")
+    postings = rows.filter("prefix IS NOT NULL").select(F.posexplode("prefix").alias("place", "h"), "n", "light", "grp")
     postings = postings.repartition("h").sortWithinPartitions("h", "n", "grp")
-    lists = write_table(postings.mapInArrow(released(_lists(percent)), "h long, n long, grp long, place int, leader long"), "lists")
+    lists = write_table(postings.mapInArrow(released(_lists(percent)), "h long, grp long, shared boolean, leader long"), "lists")
+
+    # rows of one id are one document: its other sets are tied to the first
+    of_id = write_table(rows.filter("d1 IS NOT NULL").select("id", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("id", "node"), "ids")
+    firsts = of_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("high"))
+    tied = firsts.filter("a < high").select("id", "a").join(of_id, "id").select("a", F.col("node").alias("b")).filter("a < b")
 
     # round one: members of a group with its first, groups of a list with their leader
     inside = nodes.join(groups, "grp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     across = lists.filter("grp <> leader").select("grp", "leader").distinct()
     across = across.join(groups.select("grp", F.col("rep").alias("a")), "grp").join(groups.select(F.col("grp").alias("leader"), F.col("rep").alias("b")), "leader")
     one = _verify(inside.unionByName(across.select("a", "b")), docs, nodes, shingle, percent)
-    labels = connected_components(one.filter("linked").select("a", "b"))
+    links = write_table(one.filter("linked").select("a", "b").unionByName(tied), "links")
+    labels = connected_components(links)
 
     # round two: what is left between components of one list or group
-    placed = nodes.join(labels, "node", "left").select("node", "n", "grp", "bits", F.coalesce("component", "node").alias("c"))
+    placed = nodes.join(labels, "node", "left").select("node", "n", "light", "grp", "bits", F.coalesce("component", "node").alias("c"))
     placed = write_table(placed, "placed")
-    # a group that is still in parts is a list of its own: its lists may hold no other group
-    parted = placed.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    held = lists.select("h", "grp").unionByName(parted.select(F.col("grp").alias("h"), "grp"))
-    members = write_table(held.join(placed.select("node", "grp", "c"), "grp").select("h", "node", "c"), "members")
-    mains = members.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("parts"))
-    mains = mains.filter("parts > 1").select("h", F.col("most.c").alias("main"))
-    near = write_table(members.join(mains, "h").select("main", "node", "c").distinct(), "near")
-    sought = F.count_if(F.col("c") != F.col("main"))
-    blocks = near.groupBy("main").agg(F.ceil(sought / BLOCK).cast("int").alias("blocks_a"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_b"))
-    near = near.join(blocks, "main").withColumn("own", F.xxhash64("node", "main"))
-    own = lambda k: F.array(F.pmod("own", F.col(k)).cast("int"))
-    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    roles = [F.struct(F.lit(1).alias("role"), every("blocks_a").alias("a"), own("blocks_b").alias("b")), F.when(F.col("c") != F.col("main"), F.struct(F.lit(0).alias("role"), own("blocks_a").alias("a"), every("blocks_b").alias("b")))]
-    near = near.select("main", "node", F.explode(F.array_compact(F.array(*roles))).alias("r"))
-    near = near.select("main", "node", "r.role", F.explode("r.a").alias("ba"), "r.b").select("main", "node", "role", "ba", F.explode("b").alias("bb"))
-    near = near.join(placed.select("node", "n", "c", "bits"), "node")
-    prepare(spark)
-    keys = ["main", "ba", "bb"]
-    pairs = near.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_cross(percent)), "a long, b long")
-    pairs = write_table(pairs, "across").distinct().join(one.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = _candidates(lists, placed, percent).join(one.select("a", "b"), ["a", "b"], "left_anti")
     two = _verify(pairs, docs, nodes, shingle, percent)
-    links = one.filter("linked").unionByName(two.filter("linked")).select("a", "b")
-    labels = connected_components(links)
+    # links of the second round join components of the first
+    parts = placed.select("node", "c")
+    ends = two.filter("linked").join(parts.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a")
+    ends = ends.join(parts.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = connected_components(ends).withColumnRenamed("node", "c")
+
+    # a component's name is its smallest id
+    named = nodes.select("node", "first_id").join(parts, "node").join(joined, "c", "left").select("node", "first_id", F.coalesce("component", "c").alias("c"))
+    named = named.join(named.groupBy("c").agg(F.min("first_id").alias("component_id")), "c").select(F.col("node").alias("a"), "component_id")
+    ids = rows.select("id", "n").join(firsts.select("id", "a"), "id", "left").join(named, "a", "left")
+    return ids.select("id", "n", F.coalesce("component_id", "id").alias("component"))
 
-    # nodes carry hashes: a component's name is its smallest id
-    named = nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
-    named = named.join(named.groupBy("c").agg(F.min("first_id").alias("component_id")), "c").select("node", "component_id")
-    ids = rows.select("id", "n", "node").join(named, "node", "left")
-    return ids.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of every row of docs. percent: the least similarity, 75 or more."""
+    if percent < 75:
+        raise ValueError("prefixes of a quarter need a similarity of 0.75 at least")
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    outer = around()
+    with scratch(spark):
+        found = write_table(_classes(docs, shingle, percent), "classes", outer)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from gridcast.llm import jaccard_join
+from gridcast.session import shared_dir
 
 
 def shingles(text, k=5):
@@ -28,11 +30,17 @@ def brute(rows, percent=75):
             if sets[a] and sets[b] and rows[a][0] is not None and rows[b][0] is not None and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
+    first = {}
+    for i, (d, _) in enumerate(rows):  # rows of one id are one document
+        if d is not None and sets[i]:
+            x, y = sorted((root(first.setdefault(d, i)), root(i)))
+            parent[y] = x
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
-    return sorted((-1 if d is None else d, len(sets[i]), -1 if d is None else least[root(i)]) for i, (d, _) in enumerate(rows))
+    name = lambda i, d: least[root(first.get(d, i))]
+    return sorted((-1 if d is None else d, len(sets[i]), -1 if d is None else name(i, d)) for i, (d, _) in enumerate(rows))
 
 
 def corpus(seed, n=220):
@@ -58,8 +66,13 @@ def corpus(seed, n=220):
         if rng.random() < 0.3:
             words[rng.randrange(80)] = word()
         texts.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
+    for size in (7, 12, 18, 25):  # sets that are mostly one passage and differ in the rest
+        texts += [" ".join(passage + [word() + str(rng.randrange(10**6)) for _ in range(rng.randrange(size))]) for _ in range(12)]
     ids = rng.sample(range(10_000), len(texts))
     ids[12] = None
+    for _ in range(8):  # one id with several texts, an empty one among them
+        ids[rng.randrange(20, len(ids))] = ids[rng.randrange(20, len(ids))]
+    ids[30] = ids[1]
     return list(zip(ids, texts))
 
 
@@ -93,3 +106,18 @@ def test_chains_inside_one_group(spark):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_documents(docs).collect())
     assert got == brute(rows)
     assert jaccard_join.keep_one(docs).count() == 70
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, long[:400_000]), (4, "w1 w2 w3 w4 w5")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_tables_in_between_are_deleted(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "gridcast"
+    tables = lambda: {p.name for p in folder.glob("*") if not p.name.startswith(".")}
+    before = tables()
+    assert jaccard_join.near_documents(spark.createDataFrame(corpus(3, 20), "doc_id long, text string")).count() > 0
+    assert [name.partition("-")[0] for name in tables() - before] == ["classes"]
