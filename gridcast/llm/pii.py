@@ -12,8 +12,9 @@ bits that pick one of all pairs of an entity and a term, so that about 2^-margin
 in the whole corpus, of any size. That asks for two joint texts of a rare entity and for more of a common one. A disclosing term is generalised, or removed where PMI reaches `remove` of
 c's information, wherever it occurs in any text. Such terms are added spans of kind `term`.
 
-Spans depend on a text alone, so terms travel under 128 bits of hash of the text. Texts are scanned for entities, for
-the terms of texts that hold some, for the document counts of candidate terms, and for the places of disclosing ones.
+Spans depend on a text alone, so terms travel under 128 bits of hash of the text. Texts are scanned for entities (and
+the terms beside them), for the document counts of candidate terms, and for the places of disclosing ones; only the
+last moves texts, each distinct one once.
 
 Cases: null text is empty; ids may be null or repeat (rows are told apart); entities or terms in one text count once
 and equal texts count once; overlaps between base kinds stay, terms that overlap an address are not marked; a text
@@ -83,26 +84,28 @@ def _hit(kind: int, gaps: str):
 
 
 def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row of kind -1 for every document, and one for every hit with its place."""
+    """A row of kind -1 for every document, with its terms if it has hits, and one for every hit with its place."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     empty = F.array().cast("array<struct<kind:int,i:int,hit:string,gap:int>>")
-    found = [F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit("").alias("hit"), F.lit(0).alias("gap")))]
+    found, some = [F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit("").alias("hit"), F.lit(0).alias("gap")))], F.lit(False)
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
         hits, gaps = f"hits_{kind}", f"gaps_{kind}"
         tried = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
         rows = rows.withColumn(hits, F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
         rows = rows.withColumn(gaps, F.when(F.size(hits) > 0, F.split("text", pattern, -1)))
         found.append(F.when(F.size(hits) > 0, F.transform(hits, _hit(k, gaps))).otherwise(empty))
-    return rows.select("row", "id", *_same(F.col("text")), F.inline(F.concat(*found)))
+        some |= F.coalesce(F.size(hits) > 0, F.lit(False))
+    rows = rows.select("row", "id", *_same(F.col("text")), F.when(some, _terms(F.col("text"))).alias("terms"), F.inline(F.concat(*found)))
+    return rows.withColumn("terms", F.when(F.col("kind") < 0, F.col("terms")))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, s1, s2 of every document (kind -1) and of every valid hit, with kind, hit, from and to."""
+    """row, id, s1, s2 of every document (kind -1, with terms) and of every valid hit, with kind, hit, from and to."""
     hits = _hits(docs, id_col, text_col)
     order = W.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("hit")).over(order.rowsBetween(W.unboundedPreceding, 0))
     hits = hits.withColumn("to", end.cast("int")).withColumn("from", (F.col("to") - F.length("hit")).cast("int"))
-    return hits.filter((F.col("kind") < 0) | _valid()).select("row", "id", *SAME, "kind", "hit", "from", "to")
+    return hits.filter((F.col("kind") < 0) | _valid()).select("row", "id", *SAME, "terms", "kind", "hit", "from", "to")
 
 
 def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: float, margin: float, text_col: str) -> DataFrame:
@@ -115,9 +118,7 @@ def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: floa
     n = texts.agg(F.count("*").alias("n"))  # one row
 
     # terms of the texts that hold an entity
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(*_same(text), text.alias("text")).join(entities.select(*SAME).distinct(), SAME, "left_semi")
-    held = held.dropDuplicates(SAME).select(*SAME, F.explode(_terms(F.col("text"))).alias("t"))
+    held = hits.filter("kind < 0").select(*SAME, F.explode("terms").alias("t")).join(entities.select(*SAME).distinct(), SAME, "left_semi").distinct()
     held = write_table(held, "terms")
     # a term is in as many texts at least as it is in texts with an entity: most common words end here
     at_least = held.groupBy("t").agg(F.count("*").alias("n_t"))
@@ -129,6 +130,7 @@ def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: floa
     pairs = write_table(pairs.join(at_least, "t").filter(share >= generalise).select("entity", "t", "n_ct", "n_c", "n"), "pairs")
 
     # document counts of the remaining terms over all texts
+    text = F.coalesce(F.col(text_col), F.lit(""))
     asked = pairs.select("t").distinct()
     if asked.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         asked = F.broadcast(asked)
@@ -143,12 +145,20 @@ def disclosing(docs: DataFrame, hits: DataFrame, generalise: float, remove: floa
 def _places(docs: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
     """s1, s2, from, to, action of every occurrence of marked terms (s1, s2, t, action) in their texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(*_same(text), text.alias("text")).join(marked.select(*SAME).distinct(), SAME, "left_semi").dropDuplicates(SAME)
-    runs = texts.select(*SAME, F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("i", "run"))
-    runs = runs.select(*SAME, "i", F.length("run").alias("k"), F.xxhash64(F.lower("run")).alias("t"))
-    end = F.sum("k").over(W.partitionBy(*SAME).orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
-    runs = runs.withColumn("to", end).join(marked, [*SAME, "t"])
-    return runs.select(*SAME, (F.col("to") - F.col("k")).alias("from"), "to", "action")
+    texts = docs.select(*_same(text), text.alias("text")).groupBy(*SAME).agg(F.first("text").alias("text"))
+    asked = marked.groupBy(*SAME).agg(F.collect_list("t").alias("asked"))
+    rows = texts.join(asked, SAME).select(*SAME, "asked", F.regexp_extract_all("text", F.lit(r"\p{L}+|\P{L}+"), F.lit(0)).alias("runs"))
+    rows = rows.select(*SAME, "asked", F.transform("runs", lambda r: F.length(r)).alias("k"), F.transform("runs", lambda r: F.xxhash64(F.lower(r))).alias("t"))
+    places = F.transform("t", lambda t, i: F.when(F.array_contains("asked", t), i))
+    rows = rows.select(*SAME, "k", "t", F.array_compact(places).alias("at"))
+    # a hit, with the length of what lies between the one before and its end
+    since = lambda i, j: F.coalesce(F.get("at", j - 1), F.lit(-1)) + 2
+    width = lambda i, j: F.aggregate(F.slice("k", since(i, j), i + 2 - since(i, j)), F.lit(0), lambda a, x: a + x)
+    hits = F.transform("at", lambda i, j: F.struct(i.alias("i"), F.get("t", i).alias("t"), F.get("k", i).alias("k"), width(i, j).alias("width")))
+    rows = rows.select(*SAME, F.inline(hits))
+    end = F.sum("width").over(W.partitionBy(*SAME).orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("to", end).join(marked, [*SAME, "t"])
+    return rows.select(*SAME, (F.col("to") - F.col("k")).alias("from"), "to", "action")
 
 
 def find(docs: DataFrame, generalise: float = 0.9, remove: float = 0.99, margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
