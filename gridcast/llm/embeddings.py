@@ -9,8 +9,8 @@ of more than `block` vectors is dealt to tasks as pairs of blocks. Each block gi
 of its links, at most one edge a vector.
 
 Cases: vectors that are null, empty, all zero or hold null or non-finite components, and rows without id, link with
-nothing (component: their own id); vectors of different length link with nothing; rows of one id are one node for
-components; equal vectors link with each other; an empty table gives no rows; other columns aren't carried.
+nothing (component: their own id); finite components may be of any size; vectors of different length link with nothing;
+rows of one id are one node for components, whatever their vectors; equal vectors link with each other; an empty table gives no rows; other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, pieces, prepare, released, write_table
+from .common import around, key_runs, pieces, prepare, released, scratch, write_table
 from .components import connected_components
 
 SEED = 20240
@@ -43,17 +43,21 @@ def _codes(bits: int, tables: int):
         for batch in pieces(batches, 2000):
             vectors = batch.column("vec").to_pylist()
             out = np.zeros((len(vectors), tables), dtype=np.int64)
+            raw: list[bytes] = [b""] * len(vectors)
             dims = np.array([len(v) for v in vectors])
             for d in np.unique(dims).tolist():
                 if d not in planes:
                     planes[d] = np.random.default_rng([SEED, d]).standard_normal((d, bits * tables))
                 own = np.flatnonzero(dims == d)
                 x = np.array([vectors[i] for i in own], dtype=np.float64)
+                x /= np.abs(x).max(axis=1)[:, None]  # squares of the rest neither overflow nor vanish
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                for i, unit in zip(own.tolist(), x, strict=True):
+                    raw[i] = unit.astype("<f8").tobytes()
                 out[own] = ((x @ planes[d]) > 0).reshape(len(own), tables, bits) @ place
             codes = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * tables, pa.int32()), pa.array(out.ravel()))
-            raw = pa.array([np.asarray(v, dtype="<f8").tobytes() for v in vectors], pa.binary())
             keep = [batch.column(c) for c in ("gid", "id", "w", "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*keep, raw, codes], ["gid", "id", "w", "h1", "h2", "raw", "codes"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(raw, pa.binary()), codes], ["gid", "id", "w", "h1", "h2", "raw", "codes"])
 
     return run
 
@@ -84,7 +88,6 @@ def _links(threshold: float, at_once: int = 256):
                 if e - s < 2:
                     continue
                 x = np.frombuffer(b"".join(raw.slice(s, e - s).to_pylist()), "<f8").reshape(e - s, -1)
-                x = x / np.linalg.norm(x, axis=1)[:, None]
                 t, c, ww = int(t_of[s]), codes[s:e], w[s:e]
                 same = bi[s] == bj[s]
                 left = np.arange(e - s) if same else np.flatnonzero(own[s:e] == bi[s])
@@ -118,7 +121,14 @@ def _links(threshold: float, at_once: int = 256):
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.998, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of every row of vectors."""
-    spark = vectors.sparkSession
+    prepare(vectors.sparkSession)
+    outer = around()
+    with scratch(vectors.sparkSession):
+        found = write_table(_linked(vectors, threshold, recall, block, id_col, vec_col), "linked", outer)
+    return found.select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
+
+
+def _linked(vectors: DataFrame, threshold: float, recall: float, block: int, id_col: str, vec_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     sound = F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
@@ -128,7 +138,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     groups = rows.filter(F.col("vec").isNotNull()).groupBy(h1, h2).agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     groups = write_table(groups.withColumn("gid", F.monotonically_increasing_id()), "vectors")
     bits, tables = _tables(groups.count(), threshold, recall)
-    prepare(spark)
     coded = write_table(groups.mapInArrow(released(_codes(bits, tables)), "gid long, id long, w long, h1 long, h2 long, raw binary, codes array<long>"), "codes")
     dim = F.octet_length("raw").alias("dim")
     placed = coded.select("gid", dim, F.posexplode("codes").alias("t", "code"))
@@ -143,10 +152,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     placed = placed.repartition(*keys).sortWithinPartitions(*keys)
     found = write_table(placed.mapInArrow(released(_links(threshold)), "gid long, a long, b long, links long"), "links")
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select("a", "b"))
+    # rows of one id are one node: its groups are tied to the first of them
+    of_id = rows.filter(F.col("vec").isNotNull()).select(F.col("id").alias("own"), h1, h2).join(groups.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).select("own", "b").distinct()
+    firsts = of_id.groupBy("own").agg(F.min("b").alias("a"), F.max("b").alias("high")).filter("a < high")
+    tied = firsts.join(of_id, "own").select("a", "b").filter("a < b")
+    parts = connected_components(found.select("a", "b").unionByName(tied))
     info = groups.select("gid", "id", "w", "h1", "h2").join(links, "gid", "left")
     info = info.join(parts.withColumnRenamed("node", "id"), "id", "left")
     info = info.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", h1, h2).join(info, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
