@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
@@ -147,6 +148,22 @@ def scores(y: np.ndarray, p: np.ndarray, span: float) -> dict[str, float]:
     return {"rmse": rmse, "mae": float(np.mean(np.abs(y - p))), "nrmse": rmse / max(span, EPSILON), "smape": smape}
 
 
+def _epoch(spec: Spec, state: tuple[Weights, Weights, Weights], t: int, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> int:
+    """One pass of Adam over the rows in random order: changes weights and both moments; returns the steps so far."""
+    w, m, v = state
+    order = rng.permutation(len(x))
+    for k in range(0, len(x), spec.batch):
+        own = order[k : k + spec.batch]
+        p, cache = forward(spec, w, x[own], rng)
+        grads = backward(spec, w, cache, 2 * (p - y[own]) / p.size)
+        t += 1
+        for name, d in grads.items():
+            m[name] = 0.9 * m[name] + 0.1 * d
+            v[name] = 0.999 * v[name] + 0.001 * d * d
+            w[name] = w[name] - spec.rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-7)
+    return t
+
+
 def train(spec: Spec, x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np.ndarray) -> Fitted:
     """Adam on the mean squared error; the history has every epoch's metrics of both parts."""
     w = init(spec, x.shape[1], y.shape[1])
@@ -154,16 +171,7 @@ def train(spec: Spec, x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     span, t, out = float(y.max() - y.min()) if y.size else 0.0, 0, Fitted(spec, w)
     for epoch in range(spec.epochs):
-        order = rng.permutation(len(x))
-        for k in range(0, len(x), spec.batch):
-            own = order[k : k + spec.batch]
-            p, cache = forward(spec, w, x[own], rng)
-            grads = backward(spec, w, cache, 2 * (p - y[own]) / p.size)
-            t += 1
-            for name, d in grads.items():
-                m[name] = 0.9 * m[name] + 0.1 * d
-                v[name] = 0.999 * v[name] + 0.001 * d * d
-                w[name] -= spec.rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-7)
+        t = _epoch(spec, (w, m, v), t, x, y, rng)
         row = {"epoch": epoch} | scores(y, forward(spec, w, x)[0], span)
         if len(x_val):
             row |= {f"val_{k}": s for k, s in scores(y_val, forward(spec, w, x_val)[0], span).items()}
@@ -171,6 +179,108 @@ def train(spec: Spec, x: np.ndarray, y: np.ndarray, x_val: np.ndarray, y_val: np
     return out
 
 
+#: Windows that a task of train_on holds, and states that meet in one average.
+TRAIN_BLOCK, FAN_IN = 4096, 16
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+
+
+def _pack(state: tuple[Weights, ...]) -> bytes:
+    return np.concatenate([a.ravel() for part in state for a in part.values()]).tobytes()
+
+
+def _unpack(data: bytes, like: Weights) -> tuple[Weights, Weights, Weights]:
+    flat, at, out = np.frombuffer(data), 0, []
+    for _ in range(3):
+        out.append({})
+        for k, a in like.items():
+            out[-1][k] = flat[at : at + a.size].reshape(a.shape).copy()
+            at += a.size
+    return tuple(out)
+
+
+def train_on(windows: DataFrame, spec: Spec, key: str = "i", block: int = TRAIN_BLOCK) -> Fitted:
+    """Trains on every window of the split `train`, with the metrics of every epoch on all of `train` and `val`.
+
+    Windows are dealt by a hash of their keys to blocks of about `block`. In an epoch every block trains from the same
+    weights and moments, and their averages, by windows, start the next; a single block is plain training. Averages
+    meet FAN_IN at a time, so what a task or the driver holds doesn't grow with the windows.
+    """
+    spark = windows.sparkSession
+    ship(spark)
+    both = windows.filter(F.col("split").isin("train", "val")).select(key, "win_idx", "split", "x", "y")
+    n = both.filter("split = 'train'").count()
+    first = both.filter("split = 'train'").select(F.size("x").alias("a"), F.size("y").alias("b")).first()
+    if first is None:
+        raise ValueError("there are no windows to train on")
+    blocks = -(-n // block)
+    dealt = both.withColumn("block", F.pmod(F.xxhash64(F.col(key), "win_idx"), F.lit(blocks)).cast("int")).persist()
+    w = init(spec, first["a"], first["b"])
+    state, steps, out = (w, *({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))), 0, Fitted(spec, w)
+    packed = "block int, n long, steps long, state binary"
+
+    def average(rows):
+        rows = rows.sort_by("block")
+        counts = rows.column("n").to_numpy()
+        total = sum(k * np.frombuffer(s) for k, s in zip(counts.tolist(), rows.column("state").to_pylist(), strict=True))
+        data = (total / counts.sum()).tobytes()
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py() // FAN_IN], pa.int32()), "n": [int(counts.sum())], "steps": [int(rows.column("steps").to_numpy().max())], "state": pa.array([data], pa.binary())})
+
+    def pass_of(epoch: int, steps: int, sent):
+        def run(rows):
+            rows = rows.sort_by([(key, "ascending"), ("win_idx", "ascending")])
+            own = _unpack(sent.value, w)
+            number = rows.column("block")[0].as_py()
+            done = _epoch(spec, own, steps, _matrix(rows.column("x")), _matrix(rows.column("y")), np.random.default_rng([spec.seed, epoch, number]))
+            return pa.table({"block": pa.array([number], pa.int32()), "n": [rows.num_rows], "steps": [done], "state": pa.array([_pack(own)], pa.binary())})
+
+        return run
+
+    for epoch in range(spec.epochs):
+        sent = spark.sparkContext.broadcast(_pack(state))
+        rows, left = dealt.filter("split = 'train'").groupBy("block").applyInArrow(pass_of(epoch, steps, sent), packed), blocks
+        while left > 1:
+            rows = rows.groupBy(F.floor(F.col("block") / FAN_IN)).applyInArrow(average, packed)
+            left = -(-left // FAN_IN)
+        (row,) = rows.collect()  # one row
+        state, steps = _unpack(bytes(row["state"]), w), row["steps"]
+        out.weights = state[0]
+        out.history.append({"epoch": epoch} | _epoch_metrics(dealt, out))
+        sent.unpersist()
+    dealt.unpersist()
+    return out
+
+
+def _epoch_metrics(windows: DataFrame, fitted: Fitted) -> dict[str, float]:
+    """Metrics of train and val as the training log has them, from sums of all windows."""
+    sums = "split string, n long, sq double, ab double, sm double, low double, high double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in table.column("split").unique().to_pylist():
+                own = table.filter(pc.equal(table.column("split"), name))
+                y = _matrix(own.column("y"))
+                p = forward(fitted.spec, fitted.weights, _matrix(own.column("x")))[0]
+                e = np.abs(y - p)
+                sm = e / np.maximum(np.abs(y) + np.abs(p), EPSILON)
+                yield pa.RecordBatch.from_pydict({"split": [name], "n": [y.size], "sq": [float((e**2).sum())], "ab": [float(e.sum())], "sm": [float(sm.sum())], "low": [float(y.min())], "high": [float(y.max())]})
+
+    parts = windows.select("split", "x", "y").mapInArrow(run, sums).groupBy("split")
+    parts = parts.agg(*(F.sum(c).alias(c) for c in ("n", "sq", "ab", "sm")), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # two rows
+    parts = {r["split"]: r for r in parts}
+    span, out = max(parts["train"]["high"] - parts["train"]["low"], EPSILON), {}
+    for name, prefix in (("train", ""), ("val", "val_")):
+        if name in parts:
+            r = parts[name]
+            rmse = float(np.sqrt(r["sq"] / r["n"]))
+            out |= {f"{prefix}rmse": rmse, f"{prefix}mae": r["ab"] / r["n"], f"{prefix}nrmse": rmse / span, f"{prefix}smape": 100 * r["sm"] / r["n"]}
+    return out
+
+
 def sample_matrices(windows: DataFrame, split: str, limit: int = 20_000, key: str = "i") -> tuple[np.ndarray, np.ndarray]:
     """Feature and target matrices of at most limit windows of a split, the first by a hash of their keys.
 

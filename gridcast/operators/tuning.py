@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -52,6 +52,11 @@ def run_trials(trials: DataFrame, windows: DataFrame, limit: int = 20_000, epoch
     return own.mapInPandas(run, "trial int, model string, epoch int, metric string, value double")
 
 
+def retrain(windows: DataFrame, trial: Row, key: str = "i") -> models.Fitted:
+    """The model of a row of the trial grid, trained on every window."""
+    return models.train_on(windows, models.Spec(trial["model"], trial["units"], trial["layers"], trial["dropout"], trial["batch"], trial["epochs"], seed=trial["trial"]), key)
+
+
 def best_trial(history: DataFrame, metric: str = "val_nrmse") -> DataFrame:
     """model, trial, value: of every model the trial whose last epoch has the least value."""
     last = history.filter(F.col("metric") == metric).groupBy("model", "trial").agg(F.max_by("value", "epoch").alias("value"))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PER_DAY
+from ..config import PER_DAY, WINDOWS
 from ..functions.columns import day_key, normalised_entity, zero_filled
 from ..operators import calendar, forecasts, models, sarima, screening, split_scale, timegrid, tuning, windows
 from ..session import shared_dir
@@ -353,12 +353,18 @@ def best_trial(spark, d):
 
 def score_model(spark, d):
     w = _windows(spark, d)
-    x, y = models.sample_matrices(w, "train", 4000)
-    x_val, y_val = models.sample_matrices(w, "val", 2000)
-    fitted = models.train(models.Spec("gru", units=32, epochs=3), x, y, x_val, y_val)
+    fitted = models.train_on(w, models.Spec("gru", units=32, epochs=3))
     return models.score(w.filter(F.col("split") == "test"), fitted).select("i", "win_idx", "y", "yp")
 
 
+def train_ten_minute(spark, d):
+    """History of the fixed ten-minute model, a week in and a day out, over all windows."""
+    inputs, outputs = WINDOWS["7-1"].size("10min")
+    fitted = models.train_on(windows.sliding_windows(_scaled(spark, d, "10min"), inputs, outputs), models.TEN_MINUTE)
+    rows = [(h["epoch"], k, v) for h in fitted.history for k, v in h.items() if k != "epoch"]
+    return spark.createDataFrame(rows, "epoch int, metric string, value double")
+
+
 def sarima_forecast(spark, d):
     return sarima.forecast_series(_scaled(spark, d), sarima.Order((1, 0, 1), (0, 1, 0, 24)), 24)
 
@@ -383,6 +389,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_windows, roundtrip_windows, pair_pred_truth, metrics_overall, metrics_by_institution,
         metrics_by_granularity, metrics_by_model, metrics_cube, metrics_of_windows, nrmse_train_range,
         rmse_by_horizon, metric_max, union_granularities, scan_institution_csv, trial_grid, train_history,
-        best_trial, score_model, sarima_forecast,
+        best_trial, score_model, train_ten_minute, sarima_forecast,
     )
 }

@@ -134,3 +134,39 @@ def test_report(spark):
 
     text = report(spark.createDataFrame([("b", 0.5, None), ("a", 1 / 3, 2.0)], "model string, rmse double, nrmse double"))
     assert text.split() == ["model", "rmse", "nrmse", "a", "0.3333", "2.0000", "b", "0.5000", "-"]
+
+
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_training_on_all_windows_against_numpy(spark, block):
+    rng = np.random.default_rng(2)
+    spec = models.Spec("gru", units=5, epochs=3, batch=4)
+    data = [(k % 3, k, "train" if k < 120 else "val", rng.random(6).tolist(), rng.random(2).tolist()) for k in range(150)]
+    df = spark.createDataFrame(data, "i long, win_idx long, split string, x array<double>, y array<double>").repartition(4)
+    fitted = models.train_on(df, spec, block=block)
+    blocks = -(-120 // block)
+    number = {(r["i"], r["win_idx"]): r["b"] for r in df.selectExpr("i", "win_idx", f"pmod(xxhash64(i, win_idx), {blocks}) AS b").collect()}
+    own = [[r for r in sorted(data) if r[2] == "train" and number[r[0], r[1]] == b] for b in range(blocks)]
+    w = models.init(spec, 6, 2)
+    state, t = (w, *({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))), 0
+    for epoch in range(3):
+        ends, steps = [], []
+        for b, rows in enumerate(own):
+            if rows:
+                copy = tuple({k: a.copy() for k, a in part.items()} for part in state)
+                steps.append(models._epoch(spec, copy, t, np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.random.default_rng([spec.seed, epoch, b])))
+                ends.append((len(rows), copy))
+        state = tuple({k: sum(n * end[part][k] for n, end in ends) / 120 for k in w} for part in range(3))
+        t = max(steps)
+    for k in w:
+        assert np.allclose(fitted.weights[k], state[0][k], atol=1e-12)
+    x, y = (np.array([r[c] for r in data if r[2] == "val"]) for c in (3, 4))
+    span = np.ptp([r[4] for r in data if r[2] == "train"])
+    want = models.scores(y, models.forward(spec, state[0], x)[0], span)
+    assert len(fitted.history) == 3 and all(abs(fitted.history[-1][f"val_{k}"] - v) < 1e-9 for k, v in want.items())
+
+
+def test_retrain_takes_the_parameters_of_a_trial(spark):
+    trial = tuning.trial_grid(spark, "rnn", 2).collect()[1]
+    rows = [(0, k, "train", [0.1 * k] * 3, [0.2]) for k in range(20)]
+    fitted = tuning.retrain(spark.createDataFrame(rows, "i long, win_idx long, split string, x array<double>, y array<double>"), trial.__class__(**(trial.asDict() | {"epochs": 2})))
+    assert fitted.spec.kind == "rnn" and fitted.spec.units == trial["units"] and len(fitted.history) == 2
