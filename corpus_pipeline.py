@@ -1,11 +1,16 @@
 """Training-corpus pipeline: five filters and transforms of documents, each written as Parquet and read again.
 
-1. quality: documents that the compression classifier scores below 0.7 go.
+1. quality: documents that the compression classifier scores below 0.7 go, null and empty ones (0.5) among them.
 2. line_dedup: boilerplate lines on at least five sites go, but for their first occurrence; so do documents of which
    nothing is left.
 3. near_dedup: of documents linked by similarity of word shingles, the one of the smallest id stays.
 4. decontaminate: documents that hold a window of a benchmark item go.
 5. packing: what is left is tokenised and packed into sequences.
+
+Cases: null ids pass every stage but link with nothing; rows of one id are one document for near_dedup, and go or stay
+together; a null source adds no site; equal rows are one group, of which near_dedup keeps all rows of the smallest id;
+columns beyond those of documents are carried, whatever their names, up to packing; an empty table, or no labels, gives
+no rows.
 """
 
 from __future__ import annotations
