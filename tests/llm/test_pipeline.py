@@ -43,3 +43,17 @@ def test_stages_against_brute_force(spark):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 100 and "sequence_id" in got.columns
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    text = max((r["text"] for r in good.collect() if r["text"]), key=len)
+    odd = [(9001, None, "en", "s", 0), (9002, "", "en", None, 0), (None, text, None, "s", 1), (9003, text, "en", "s", 1), (9003, text, "en", "s", 1)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "7 AS score", "8 AS node", "9 AS h1")
+    for name, frame in (("documents", rows), ("labels", spark.read.parquet(f"{SF}/labels.parquet")), ("benchmark", spark.read.parquet(f"{SF}/benchmark.parquet"))):
+        frame.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        frame.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").select("doc_id").collect()}
+    assert None in got and not got & {9001, 9002} and len(got) > 50
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
