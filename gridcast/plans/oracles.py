@@ -99,6 +99,7 @@ JOIN ws a ON a.i = wi.i AND a.split = wi.split AND a.sp = wi.sp + 24 + k"""
 
 MODELS = f"pm AS (SELECT 'seasonal' AS model, * FROM ({_lagged('h', 24)}) UNION ALL SELECT 'last', * FROM ({_lagged('h', 1)}))"
 D = "CAST(day AS VARCHAR) AS day"
+NUMBERED_HOURS = f"{H} SELECT CAST(i AS VARCHAR) AS id_institution, row_number() OVER (PARTITION BY i ORDER BY day, hr) AS id_time, CAST(nb AS DOUBLE) AS n_bytes FROM hh"
 
 ORACLES = {
     "project_series": f"WITH {EVENTS} SELECT i, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, nb FROM ev",
@@ -153,6 +154,12 @@ ORACLES = {
     "nrmse_train_range": f"{HY} SELECT i, round({RMSE} / greatest((SELECT max(y) - min(y) FROM yh WHERE split = 'train'), 1e-7::DOUBLE), 6) AS nrmse FROM ({_lagged('h', 24)}) GROUP BY i",
     "rmse_by_horizon": f"{W}, pr AS (SELECT CAST(k AS INTEGER) AS step, CAST(a.nb AS DOUBLE) AS y, CAST(b.nb AS DOUBLE) AS yp FROM wi, range(4) t(k) JOIN ws a ON a.i = wi.i AND a.split = wi.split AND a.sp = wi.sp + 24 + k JOIN ws b ON b.i = wi.i AND b.split = wi.split AND b.sp = wi.sp + k WHERE wi.split = 'test') SELECT step, round({RMSE}, 6) AS rmse FROM pr GROUP BY step",
     "metric_max": f"{HY}, {MODELS} SELECT round(greatest(max(rmse), max(mae), max(nrmse), max(smape)), 6) AS max_value FROM (SELECT model, {RMSE} AS rmse, {MAE} AS mae, {NRMSE} AS nrmse, {SMAPE} AS smape FROM pm GROUP BY model)",
-    "scan_institution_csv": f"{H} SELECT CAST(i AS VARCHAR) AS id_institution, row_number() OVER (PARTITION BY i ORDER BY day, hr) AS id_time, CAST(nb AS DOUBLE) AS n_bytes FROM hh",
+    "scan_institution_csv": NUMBERED_HOURS,
+    "reread_processed": NUMBERED_HOURS,
+    "scan_time_csv": f"WITH {EVENTS}, tm AS ({_times('hour')}) SELECT id_time, {TIME} FROM tm",
+    "roundtrip_windows_csv": ENDS,
+    "stored_scalers": f"{HY} SELECT i, pos, y FROM yh",
+    "stored_valid_ids": f"{SU} SELECT {SU_DAY} FROM su WHERE id IN (SELECT id FROM st WHERE status = 'valid')",
+    "append_metrics": f"{HY}, {MODELS} SELECT model, {METRICS} FROM pm GROUP BY model",
     "union_granularities": f"{H}, {DAY}, {TEN} SELECT 'day' AS granularity, i, CAST(day AS VARCHAR) AS ts_key, nb FROM dd UNION ALL SELECT 'hour', i, CAST(day AS VARCHAR) || ' ' || lpad(CAST(hr AS VARCHAR), 2, '0'), nb FROM hh UNION ALL SELECT '10min', i, CAST(day AS VARCHAR) || ' ' || lpad(CAST(hr AS VARCHAR), 2, '0') || ' ' || lpad(CAST(mi AS VARCHAR), 2, '0'), nb FROM mm",
 }

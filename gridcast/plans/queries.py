@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PER_DAY, WINDOWS
 from ..functions.columns import day_key, normalised_entity, zero_filled
@@ -256,6 +257,28 @@ def roundtrip_windows(spark, d):
     return _ends(read[0].unionByName(read[1]).unionByName(read[2]))
 
 
+def roundtrip_windows_csv(spark, d):
+    path = _scratch(spark, "windows-csv")
+    sinks.export_windows_csv(_windows(spark, d), path, INPUTS, OUTPUTS)
+    return _ends(sinks.read_windows_csv(spark, path, INPUTS, OUTPUTS, key_type="long"))
+
+
+def stored_scalers(spark, d):
+    """Scales by the registry that was written for one of two granularities."""
+    path = _scratch(spark, "scalers")
+    for g in ("day", "hour"):
+        sinks.write_scalers(split_scale.fit_scaler(_split(spark, d, g)), path, g)
+    rows, _ = split_scale.scaling(_split(spark, d), 1, sinks.read_scalers(spark, path, "hour"))
+    return rows.select("i", "pos", "y")
+
+
+def stored_valid_ids(spark, d):
+    path = _scratch(spark, "valid")
+    rows = series.supplier_series(spark, d)
+    sinks.write_valid(screening.screen(rows), path)
+    return _day(rows.join(sinks.read_valid(spark, path), "id", "left_semi"))
+
+
 def pair_pred_truth(spark, d):
     scaled = _scaled(spark, d)
     truth = scaled.filter(F.col("split") == "test").select("i", "pos", "y")
@@ -319,11 +342,39 @@ def union_granularities(spark, d):
     return windows.union_granularities({g: keyed(g) for g in PER_DAY})
 
 
+def _numbered_hours(spark, d) -> DataFrame:
+    at = F.row_number().over(timegrid.W.partitionBy("i").orderBy("day", "hr")).cast("long")
+    return _series(spark, d, "hour").select("i", at.alias("id_time"), F.col("nb").cast("double").alias("n_bytes"))
+
+
+def reread_processed(spark, d):
+    """Writes the hourly series as CSV with ids as numbers and reads it again."""
+    path = _scratch(spark, "processed")
+    sinks.write_series_csv(_numbered_hours(spark, d).withColumnRenamed("i", "id_institution"), path)
+    schema = T.StructType([T.StructField("id_institution", T.DoubleType()), *series.SERIES.fields])
+    return series.read_processed(spark, path, schema)
+
+
+def scan_time_csv(spark, d):
+    """Writes the time dimension as CSV with UTC offsets and reads it again."""
+    path = _scratch(spark, "times")
+    text = F.date_format(F.col("time").cast("timestamp"), "yyyy-MM-dd HH:mm:ssxxx").alias("time")
+    sinks.write_series_csv(_times(spark, d, "hour").select("id_time", text), path)
+    return series.read_times(spark, path).select("id_time", _text())
+
+
+def append_metrics(spark, d):
+    """Metrics of one model after the other, appended to one table."""
+    path = _scratch(spark, "metrics")
+    for model in ("seasonal", "last"):
+        sinks.append_metrics(forecasts.metrics(_by_model(spark, d).filter(F.col("model") == model), "model"), path)
+    return _rounded(spark.read.parquet(path))
+
+
 def scan_institution_csv(spark, d):
     """Writes the hourly series as one CSV an entity, named by it, and scans the folder."""
     path = _scratch(spark, "entities")
-    at = F.row_number().over(timegrid.W.partitionBy("i").orderBy("day", "hr")).cast("long")
-    hours = _series(spark, d, "hour").select("i", at.alias("id_time"), F.col("nb").cast("double").alias("n_bytes"))
+    hours = _numbered_hours(spark, d)
     hours.repartition("i").write.option("header", True).partitionBy("i").csv(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -388,7 +439,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         minmax_transform, inverse_scale, roundtrip_scale, sliding_windows, feature_target_split, horizon_slice,
         flatten_windows, roundtrip_windows, pair_pred_truth, metrics_overall, metrics_by_institution,
         metrics_by_granularity, metrics_by_model, metrics_cube, metrics_of_windows, nrmse_train_range,
-        rmse_by_horizon, metric_max, union_granularities, scan_institution_csv, trial_grid, train_history,
+        rmse_by_horizon, metric_max, union_granularities, scan_institution_csv, scan_time_csv, reread_processed,
+        roundtrip_windows_csv, stored_scalers, stored_valid_ids, append_metrics, trial_grid, train_history,
         best_trial, score_model, train_ten_minute, sarima_forecast,
     )
 }

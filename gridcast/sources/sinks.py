@@ -1,16 +1,15 @@
-"""Writers of window tables, scalers, metrics and models."""
+"""Writers of window tables, scalers, id lists, metrics and models, and their readers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.windows import wide
 
 
 def write_windows(windows: DataFrame, path: str, window: str, granularity: str, mode: str = "append") -> None:
     """Windows as Parquet, partitioned so that a read of one split touches only its files."""
-    from pyspark.sql import functions as F
-
     rows = windows.withColumns({"window": F.lit(window), "granularity": F.lit(granularity)})
     rows.write.mode(mode).partitionBy("window", "granularity", "split").parquet(path)
 
@@ -25,17 +24,37 @@ def export_windows_csv(windows: DataFrame, path: str, inputs: int, outputs: int)
     wide(windows, inputs, outputs).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_windows_csv(spark: SparkSession, path: str, inputs: int, outputs: int, key: str = "i", key_type: str = "string") -> DataFrame:
+    """key, split, win_idx, x, y of windows exported with one column a step."""
+    xs, ys = [f"x_{j}" for j in range(inputs)], [f"y_{o}" for o in range(outputs)]
+    schema = f"{key} {key_type}, split string, win_idx long, " + ", ".join(f"{c} double" for c in xs + ys)
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.select(key, "split", "win_idx", F.array(*xs).alias("x"), F.array(*ys).alias("y"))
+
+
 def write_series_csv(series: DataFrame, path: str) -> None:
     series.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_scalers(scalers: DataFrame, path: str, granularity: str) -> None:
     """The scaler registry as a table keyed by granularity and entity."""
-    from pyspark.sql import functions as F
-
     scalers.withColumn("granularity", F.lit(granularity)).write.mode("append").partitionBy("granularity").parquet(path)
 
 
+def read_scalers(spark: SparkSession, path: str, granularity: str) -> DataFrame:
+    """The scalers of one granularity."""
+    return spark.read.parquet(path).filter(F.col("granularity") == granularity).drop("granularity")
+
+
+def write_valid(screened: DataFrame, path: str, key: str = "id") -> None:
+    """The entities that passed the screening, as a table of ids."""
+    screened.filter(F.col("status") == "valid").select(key).write.mode("overwrite").parquet(path)
+
+
+def read_valid(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Metric rows join those already there."""
     metrics.write.mode("append").parquet(path)

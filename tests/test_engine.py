@@ -114,11 +114,17 @@ def test_window_exports(spark, tmp_path):
     sinks.export_windows_csv(w, f"file://{tmp_path}/csv", 2, 1)
     back = spark.read.option("header", True).csv(f"file://{tmp_path}/csv")
     assert back.columns == ["i", "split", "win_idx", "x_0", "x_1", "y_0"] and back.count() == 4
+    again = sinks.read_windows_csv(spark, f"file://{tmp_path}/csv", 2, 1)
+    key = lambda r: r["win_idx"]
+    assert sorted(again.collect(), key=key) == sorted(w.collect(), key=key)
     sinks.write_windows(w, f"file://{tmp_path}/w", "7-1", "day")
     assert sinks.read_windows(spark, f"file://{tmp_path}/w", "7-1", "day", "test").count() == 4
     for _ in range(2):
         sinks.append_metrics(spark.createDataFrame([("gru", 0.5)], "model string, rmse double"), f"file://{tmp_path}/m")
     assert spark.read.parquet(f"file://{tmp_path}/m").count() == 2
+    sinks.export_metrics_csv(spark.read.parquet(f"file://{tmp_path}/m"), f"file://{tmp_path}/mc")
+    (part,) = (tmp_path / "mc").glob("part-*.csv")
+    assert part.read_text().split() == ["model,rmse", "gru,0.5", "gru,0.5"]
 
 
 def test_metric_edges(spark):
