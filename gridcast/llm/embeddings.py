@@ -163,3 +163,20 @@ def _linked(vectors: DataFrame, threshold: float, recall: float, block: int, id_
     out = rows.select("id", h1, h2).join(info, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+#: The same for the test tables, by comparing all pairs.
+SQL = r"""
+WITH RECURSIVE given AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+rows AS (SELECT r, vec_id, CASE WHEN vec_id IS NOT NULL AND len(v) = len(list_filter(v, lambda x: isfinite(x))) AND len(list_filter(v, lambda x: x <> 0)) > 0 THEN v END AS v FROM given),
+sound AS (SELECT * FROM rows WHERE v IS NOT NULL),
+links AS (SELECT a.r AS a, b.r AS b, a.vec_id AS ia, b.vec_id AS ib FROM sound a JOIN sound b ON a.r < b.r WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.95),
+ends AS (SELECT a AS r, ia AS x, ib AS y FROM links UNION ALL SELECT b, ib, ia FROM links),
+n AS (SELECT r, count(*) AS n_links FROM ends GROUP BY r),
+edges AS (SELECT DISTINCT x, y FROM ends),
+roots AS (SELECT x FROM edges GROUP BY x HAVING min(y) > x),
+reach AS (SELECT x AS root, x AS node FROM roots UNION SELECT root, y FROM reach JOIN edges ON node = x),
+part AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM rows LEFT JOIN n USING (r) LEFT JOIN part ON node = vec_id
+"""

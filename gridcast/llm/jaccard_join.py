@@ -360,3 +360,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str =
     found = near_documents(docs, shingle, percent, id_col, text_col)
     gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
+#: The same for the test tables, by counting the common shingles of all pairs that have any.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT row_number() OVER () AS r, doc_id, list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s, len(w) AS m FROM d),
+sized AS (SELECT r, doc_id, CASE WHEN m = 0 THEN 0 ELSE len(s) END AS n, s FROM sets),
+grams AS (SELECT r, doc_id, n, unnest(s) AS g FROM sized WHERE n > 0 AND doc_id IS NOT NULL),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r AND a.n * 100 >= 75 * b.n AND b.n * 100 >= 75 * a.n
+  GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs WHERE x <> y UNION SELECT y, x FROM pairs WHERE x <> y),
+roots AS (SELECT x FROM edges GROUP BY x HAVING min(y) > x),
+reach AS (SELECT x AS root, x AS node FROM roots UNION SELECT root, y FROM reach JOIN edges ON node = x),
+part AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM sized LEFT JOIN part ON node = doc_id
+"""

@@ -76,7 +76,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embeddings": embeddings.SQL,
     "op5_chat": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
 }
