@@ -1,7 +1,8 @@
 """Benchmark decontamination by word n-grams, in DataFrame operations only.
 
 Item texts become windows of `n` consecutive words (an item of fewer words is one window). The windows form a hash
-table that is broadcast while it has at most `max_broadcast` of them, and is joined by shuffling beyond. Each document
+table that is broadcast while it has at most `max_broadcast` of them. Beyond, it is joined by shuffling the places that
+pass a broadcast bitmap of window hashes, whose size is fixed. Each document
 yields the hash of its window at every word; a hit is verified word by word; a word inside any verified occurrence is
 hit.
 
@@ -22,6 +23,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Windows (about 200 bytes each) up to which the benchmark is broadcast.
 MAX_BROADCAST = 200_000
+#: Beyond, positions first pass a bitmap of 2^BITMAP bits (2^20 longs).
+BITMAP = 26
 
 
 def words(text: Column) -> Column:
@@ -42,6 +45,20 @@ def _hash(m: int) -> Column:
     return F.when((F.col("pos") >= 0) & (F.col("pos") + m <= F.col("n_words")), F.xxhash64(*(F.get(F.col("words"), F.col("pos") + k) for k in range(m))))
 
 
+def _near(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows at -1 and those whose hash is among the table's by a bitmap of 2^BITMAP bits.
+
+    The bitmap is broadcast as at most 2^(BITMAP - 6) longs, so its size doesn't follow the benchmark's. It lets all
+    windows of the benchmark through, and of others a share of at most windows / 2^BITMAP.
+    """
+    place = lambda h: F.pmod(F.col(h), F.lit(1 << BITMAP))
+    bits = table.select(place("gh").alias("at")).select(F.expr("at div 64").alias("cell"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit"))
+    bits = bits.groupBy("cell").agg(F.bit_or("bit").alias("mask"))
+    rows = rows.withColumn("at", place("h"))
+    rows = rows.join(F.broadcast(bits), F.expr("at div 64") == F.col("cell"), "left")
+    return rows.filter((F.col("pos") == -1) | F.expr("mask & shiftleft(1L, CAST(at % 64 AS INT)) <> 0")).drop("at", "cell", "mask")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged word ranges), h1, h2 (of id and text) per row."""
     grams = windows(benchmark, n, item_col, item_text)
@@ -64,14 +81,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast: int
         rows = rows.withColumn("w", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), _hash(m).alias("h")) for m in lengths))))
         rows = rows.filter((F.col("pos") >= 0) | (F.col("w.m") == lengths[0])).withColumns({"m": F.col("w.m"), "h": F.col("w.h")})
     gram = F.concat_ws(" ", F.slice("words", F.col("pos") + 1, F.col("m")))
+    of_gram = F.expr("CASE m " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(parts, {k})' for k in range(m))})" for m in lengths) + " END")
+    table = grams.withColumn("parts", F.split("gram", " ")).select(F.col("m").alias("gm"), "gram", "items", of_gram.alias("gh"))
     if sum(sizes.values()) <= max_broadcast:
-        of_gram = F.expr("CASE m " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(parts, {k})' for k in range(m))})" for m in lengths) + " END")
-        table = grams.withColumn("parts", F.split("gram", " ")).select(F.col("m").alias("gm"), "gram", "items", of_gram.alias("gh"))
         hit = (F.col("h") == F.col("gh")) & (F.col("m") == F.col("gm")) & (F.col("gram") == F.when(F.col("pos") >= 0, gram))
         rows = rows.join(F.broadcast(table), hit, "left")
     else:
-        rows = rows.select("row", "id", "h1", "h2", "n_words", "pos", "m", F.when(F.col("h").isNotNull(), gram).alias("g"))
-        rows = rows.join(grams.select(F.col("m").alias("gm"), "gram", "items"), (F.col("g") == F.col("gram")) & (F.col("m") == F.col("gm")), "left")
+        rows = _near(rows, table)
+        # a document's own row goes by a key that no window has, so that these rows are dealt evenly
+        own = F.concat(F.lit("\0"), F.col("row").cast("string"))
+        rows = rows.select("row", "id", "h1", "h2", "n_words", "pos", "m", F.when(F.col("pos") >= 0, gram).otherwise(own).alias("g"))
+        rows = rows.join(table.drop("gh"), (F.col("g") == F.col("gram")) & (F.col("m") == F.col("gm")), "left")
     rows = rows.filter((F.col("pos") == -1) | F.col("items").isNotNull())
     found = rows.groupBy("row").agg(
         F.first("id").alias("id"),
