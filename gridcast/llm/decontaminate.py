@@ -84,8 +84,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast: int
     of_gram = F.expr("CASE m " + " ".join(f"WHEN {m} THEN xxhash64({', '.join(f'get(parts, {k})' for k in range(m))})" for m in lengths) + " END")
     table = grams.withColumn("parts", F.split("gram", " ")).select(F.col("m").alias("gm"), "gram", "items", of_gram.alias("gh"))
     if sum(sizes.values()) <= max_broadcast:
-        hit = (F.col("h") == F.col("gh")) & (F.col("m") == F.col("gm")) & (F.col("gram") == F.when(F.col("pos") >= 0, gram))
-        rows = rows.join(F.broadcast(table), hit, "left")
+        # the words are put together only where the hash is met
+        rows = rows.join(F.broadcast(table), (F.col("h") == F.col("gh")) & (F.col("m") == F.col("gm")), "left")
+        rows = rows.withColumn("items", F.when(F.col("gram") == gram, F.col("items")))
     else:
         rows = _near(rows, table)
         # a document's own row goes by a key that no window has, so that these rows are dealt evenly
