@@ -26,8 +26,13 @@ def minute_slot(ts: Column) -> Column:
 
 
 def normalised_entity(raw: Column, missing: int = 30) -> Column:
-    """An entity read as a number: null becomes `missing`, then a short, then text."""
-    return F.coalesce(raw.cast("double"), F.lit(float(missing))).cast("smallint").cast("string")
+    """An entity read as a number: null becomes `missing`, fractions are cut off, then text.
+
+    Ids past a short stay as they are, as wrapping would merge entities. Integers never pass through a double, which is
+    for text such as "30.0"; a number that no long can hold is an error.
+    """
+    number = F.coalesce(raw.cast("double"), F.lit(float(missing))).cast("bigint")
+    return F.coalesce(raw.try_cast("bigint"), number).cast("string")
 
 
 def zero_filled(x: Column) -> Column:

@@ -92,7 +92,7 @@ def derive_time_keys(spark, d):
 
 def normalize_institution_id(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet")
-    return rows.select("event_id", normalised_entity(F.col("user_id").cast("double")).alias("id_institution"))
+    return rows.select("event_id", normalised_entity(F.col("user_id")).alias("id_institution"))
 
 
 def fill_zero_cast(spark, d):

@@ -2,14 +2,17 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast import config
 from gridcast.functions import columns
 from gridcast.operators import calendar, forecasts, screening, split_scale, timegrid, windows
+from gridcast.plans.registry import ORACLES, QUERIES
 from gridcast.sources import series, sinks
 from gridcast.streaming.resample import event_stream, resample_stream
 
@@ -163,6 +166,37 @@ def test_columns(spark):
     assert spark.range(1).select(columns.day_key(F.lit(None), F.lit("d"))).first()[0] is None
 
 
+@pytest.mark.parametrize("kind, raw, want", [
+    ("long", [None, 0, -7, 32767, 32768, -32769, 65566, 2**53 + 1, 2**63 - 1], ["30", "0", "-7", "32767", "32768", "-32769", "65566", "9007199254740993", "9223372036854775807"]),
+    ("double", [None, 7.0, -0.5, 32768.9, -40000.9, 89999.0], ["30", "7", "0", "32768", "-40000", "89999"]),
+    ("string", [None, "30.0", " 8 ", "89999.0", "9007199254740993"], ["30", "30", "8", "89999", "9007199254740993"]),
+])
+def test_entities_past_a_short_stay_apart(spark, kind, raw, want):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(raw)], f"k int, x {kind}")
+    got = df.select("k", columns.normalised_entity(F.col("x"))).collect()
+    assert [r[1] for r in sorted(got)] == want
+
+
+@pytest.mark.parametrize("x", [float("nan"), float("inf"), 1e19])
+def test_entities_that_are_no_whole_number_are_errors(spark, x):
+    with pytest.raises(ArithmeticException):
+        spark.createDataFrame([(x,)], "x double").select(columns.normalised_entity(F.col("x"))).collect()
+
+
+def test_normalised_ids_of_more_users_than_a_short_counts(spark, tmp_path):
+    """Copies of the events with shifted users: the SQL's id where it has one, the user's own beyond."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT event_id + k * 1000 AS event_id, user_id + k * 15000 AS user_id FROM '/root/testdata/sf0.001/events.parquet', range(4) t(k)")
+    con.execute("INSERT INTO events VALUES (4000, NULL)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    users = dict(con.execute("SELECT event_id, user_id FROM events").fetchall())
+    con.execute("DELETE FROM events WHERE user_id > 32767")
+    want = {e: str(u) for e, u in users.items()} | dict(con.execute(ORACLES["normalize_institution_id"]).fetchall())
+    got = QUERIES["normalize_institution_id"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 4001 and dict(map(tuple, got)) == want and want[4000] == "30"
+    assert max(users[e] for e in users if users[e] is not None) > 32767
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "12.csv").write_text("id_time,n_bytes\n2,5\n1,\n")
     (tmp_path / "7.csv").write_text("id_time,n_bytes\n1,3.5\n")
